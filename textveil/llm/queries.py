@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textveil.llm.common import shared_path, table
+from textveil.llm.common import shared_path, table, written
 
 #: The vocabulary of the queries and the same merges as ranks.
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -29,15 +29,44 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textveil.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textveil.llm.chat import digest, format_chats
+
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
+    return digest(written(format_chats(chats.unionByName(more)), "chats"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textveil.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), *vocabulary(), size=2048, end_id=0)
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textveil.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"), 8)
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textveil.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), 5, every=50, scale=256)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from textveil.llm.sql import SQL
+
+    return SQL
