@@ -50,6 +50,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), *vocabulary(), size=2048, end_id=0)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textveil.llm.quality import judge, trusted_ids
+
+    return judge(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels"))).drop("score")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textveil.llm.sharding import shard
 

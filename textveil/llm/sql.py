@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from textveil.llm.crc import POLYNOMIAL
 from textveil.llm.mixing import BLOCK, DECIMALS, HALVINGS, MOST_BLOCKS, MOST_REPEATS, TARGET_ENTROPY, WORDS
+from textveil.llm.quality import BUCKETS, FEWEST, MOST_REPEATED, PRIOR, SYMBOLS, THRESHOLD, TRUSTED, WINDOW
 
 OP3 = f"""
 WITH RECURSIVE d AS (
@@ -79,4 +81,48 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM r) WHERE rank <= 5
 """
 
-SQL = {"op3_mixing": OP3, "op5_chat_formatting": OP5, "op10_top_k": OP10}
+#: CRC-32 by bytes, with the table that its polynomial gives.
+_TABLE = [0] * 256
+for _n in range(256):
+    _c = _n
+    for _ in range(8):
+        _c = (_c >> 1) ^ (POLYNOMIAL if _c & 1 else 0)
+    _TABLE[_n] = _c
+
+OP7 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS words FROM documents
+), w AS (SELECT row, doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM d),
+grams8 AS (
+  SELECT row, k, list(word) OVER (PARTITION BY row ORDER BY k ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS g FROM w
+), twice AS (
+  SELECT row, k, count(*) OVER (PARTITION BY row, g) > 1 AS again FROM grams8 WHERE len(g) = {WINDOW}
+), repeated AS (
+  SELECT row, sum(least({WINDOW}, next - k)) AS n_repeat_words
+  FROM (SELECT row, k, coalesce(lead(k) OVER (PARTITION BY row ORDER BY k), k + {WINDOW}) AS next FROM twice WHERE again) GROUP BY row
+), lines AS (
+  SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORDS}') GROUP BY row
+), octets AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM w)),
+crcs AS (
+  SELECT word, xor(list_reduce(list_transform(range(1, len(h) // 2 + 1), lambda k: ('0x' || substr(h, 2 * k - 1, 2))::BIGINT),
+    lambda c, b: xor(({_TABLE})[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM octets
+), n AS (
+  SELECT row, doc_id, crc % {BUCKETS} AS bucket FROM w JOIN crcs USING (word)
+  UNION ALL
+  SELECT row, doc_id, {BUCKETS} + (crc * 31 + next) % {BUCKETS} FROM (SELECT row, doc_id, crc, lead(crc) OVER (PARTITION BY row ORDER BY k) AS next FROM w JOIN crcs USING (word)) WHERE next IS NOT NULL
+), good AS (
+  SELECT doc_id FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL) ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT {TRUSTED}
+), counts AS (SELECT bucket, bucket >= {BUCKETS} AS pairs, count(*) AS raw, count(good.doc_id) AS trusted FROM n LEFT JOIN good USING (doc_id) GROUP BY bucket),
+ratios AS (
+  SELECT bucket, ln((trusted + {PRIOR}) / (raw * all_trusted / all_raw + {PRIOR})) AS ratio
+  FROM counts JOIN (SELECT pairs, sum(raw) AS all_raw, sum(trusted) AS all_trusted FROM counts GROUP BY pairs) USING (pairs)
+), scores AS (SELECT row, avg(ratio) AS score FROM n JOIN ratios USING (bucket) GROUP BY row),
+base AS (
+  SELECT d.row, doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '{SYMBOLS}', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(score, 0) AS score
+  FROM d LEFT JOIN lines USING (row) LEFT JOIN repeated USING (row) LEFT JOIN scores USING (row)
+), failed AS (SELECT *, n_words < {FEWEST} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND score >= {THRESHOLD} AS kept FROM failed
+"""
+
+SQL = {"op7_quality_rules": OP7, "op3_mixing": OP3, "op5_chat_formatting": OP5, "op10_top_k": OP10}
