@@ -25,7 +25,7 @@ from textveil.llm.tokens import encoder
 
 #: Ids in a block.
 BLOCK = 1 << 16
-LEVEL = 3
+LEVEL = 1
 _DOCS = pa.list_(pa.struct([("ordinal", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())]))
 BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int32()), ("kind", pa.string()), ("planes", pa.list_(pa.binary())), ("docs", _DOCS)])
 BLOCKS_SQL = "part int, block long, first long, n_ids int, kind string, planes array<binary>, docs array<struct<ordinal:long,doc_id:long,start:long,length:long>>"
@@ -36,13 +36,12 @@ def to_planes(ids: np.ndarray, kind: str = "bit") -> list[bytes]:
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=LEVEL).compress
-    octets = np.ascontiguousarray(ids.astype("<u4")).view(np.uint8).reshape(-1, 4)
+    bits_used = max(1, int(ids.max(initial=0)).bit_length())
+    width = 2 if bits_used <= 16 else 4
+    octets = np.ascontiguousarray(ids.astype(f"<u{width}")).view(np.uint8).reshape(-1, width).T
     if kind == "byte":
-        n = max(1, (int(ids.max(initial=0)).bit_length() + 7) // 8)
-        return [pack(octets[:, k].tobytes()) for k in range(n)]
-    n = max(1, int(ids.max(initial=0)).bit_length())
-    bits = np.unpackbits(octets.T, axis=0, bitorder="little")  # row 8 * k + b of the transposed bytes: bit b of byte k
-    return [pack(np.packbits(bits[k], bitorder="little").tobytes()) for k in range(n)]
+        return [pack(octets[k].tobytes()) for k in range((bits_used + 7) // 8)]
+    return [pack(np.packbits(octets[k // 8] & np.uint8(1 << k % 8), bitorder="little").tobytes()) for k in range(bits_used)]
 
 
 def from_planes(planes: list[bytes], n_ids: int, kind: str = "bit") -> np.ndarray:
@@ -51,14 +50,12 @@ def from_planes(planes: list[bytes], n_ids: int, kind: str = "bit") -> np.ndarra
 
     unpack = zstandard.ZstdDecompressor().decompress
     octets = np.zeros((4, n_ids), np.uint8)
-    if kind == "byte":
-        for k, plane in enumerate(planes):
-            octets[k] = np.frombuffer(unpack(plane), np.uint8)
-    else:
-        bits = np.zeros((32, n_ids), np.uint8)
-        for k, plane in enumerate(planes):
-            bits[k] = np.unpackbits(np.frombuffer(unpack(plane), np.uint8), count=n_ids, bitorder="little")
-        octets = np.packbits(bits, axis=0, bitorder="little")
+    for k, plane in enumerate(planes):
+        values = np.frombuffer(unpack(plane), np.uint8)
+        if kind == "byte":
+            octets[k] = values
+        else:
+            octets[k // 8] |= np.unpackbits(values, count=n_ids, bitorder="little") << np.uint8(k % 8)
     return np.ascontiguousarray(octets.T).view("<u4").reshape(-1)
 
 
