@@ -56,6 +56,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels"))).drop("score")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textveil.llm.jaccard_join import join
+
+    return join(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textveil.llm.sharding import shard
 

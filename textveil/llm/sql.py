@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from textveil.llm.crc import POLYNOMIAL
+from textveil.llm.jaccard_join import NGRAM, PERCENT
 from textveil.llm.mixing import BLOCK, DECIMALS, HALVINGS, MOST_BLOCKS, MOST_REPEATS, TARGET_ENTROPY, WORDS
 from textveil.llm.quality import BUCKETS, FEWEST, MOST_REPEATED, PRIOR, SYMBOLS, THRESHOLD, TRUSTED, WINDOW
 
@@ -125,4 +126,18 @@ base AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND score >= {THRESHOLD} AS kept FROM failed
 """
 
-SQL = {"op7_quality_rules": OP7, "op3_mixing": OP3, "op5_chat_formatting": OP5, "op10_top_k": OP10}
+OP8 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < {NGRAM} THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - {NGRAM} + 2), lambda k: array_to_string(words[k:k + {NGRAM} - 1], ' ')) END) AS shingle FROM w
+), sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * i >= {PERCENT} * (a.n + b.n - i)),
+reach(doc_id, to_id) AS (SELECT x, y FROM links UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.to_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(to_id) AS m FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+SQL = {"op8_jaccard_join": OP8, "op7_quality_rules": OP7, "op3_mixing": OP3, "op5_chat_formatting": OP5, "op10_top_k": OP10}
