@@ -35,7 +35,8 @@ def clipped_bounds(p: Column, width: Column, height: Column) -> Column:
 def clip_bounds(p: Column, width: Column, height: Column, padding: int = CLIP_PADDING) -> Column:
     """Clipped bounds and context around them."""
     b = clipped_bounds(p, width, height)
-    return _box(F.greatest(F.lit(0), b["left"] - padding), F.greatest(F.lit(0), b["top"] - padding), F.least(width, b["right"] + padding), F.least(height, b["bottom"] + padding))
+    padded = _box(F.greatest(F.lit(0), b["left"] - padding), F.greatest(F.lit(0), b["top"] - padding), F.least(width, b["right"] + padding), F.least(height, b["bottom"] + padding))
+    return F.when(b.isNotNull(), padded)
 
 
 def estimate_bounds(p: Column, width: Column, height: Column, padding: int = ESTIMATE_PADDING) -> Column:

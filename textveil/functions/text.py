@@ -9,9 +9,9 @@ from textveil.functions.chars import WHITE, wide
 
 # Forms of a language tag (BCP 47), the keyword tables of the font classifiers, units and limits.
 LANGUAGE_TAG = (
-    "^(?:(?:[A-Za-z]{2,3}(?:-[A-Za-z]{3}){0,3}|[A-Za-z]{4}|[A-Za-z]{5,8})(?:-[A-Za-z]{4})?(?:-(?:[A-Za-z]{2}|[0-9]{3}))?"
+    "(?:(?:[A-Za-z]{2,3}(?:-[A-Za-z]{3}){0,3}|[A-Za-z]{4}|[A-Za-z]{5,8})(?:-[A-Za-z]{4})?(?:-(?:[A-Za-z]{2}|[0-9]{3}))?"
     "(?:-(?:[A-Za-z0-9]{5,8}|[0-9][A-Za-z0-9]{3}))*(?:-[0-9A-WY-Za-wy-z](?:-[A-Za-z0-9]{2,8})+)*(?:-x(?:-[A-Za-z0-9]{1,8})+)?"
-    "|x(?:-[A-Za-z0-9]{1,8})+)$"
+    "|x(?:-[A-Za-z0-9]{1,8})+)"
 )
 FONT_KEYWORDS = {
     "pptx": (("mono", "courier", "console", "code"), ("serif", "roman", "times", "georgia")),
@@ -49,7 +49,7 @@ def kind_of(path: Column) -> Column:
 
 
 def is_language_tag(name: Column) -> Column:
-    return F.rlike(name, F.lit(LANGUAGE_TAG))
+    return F.rlike(name, F.lit(f"^{LANGUAGE_TAG}\\z"))
 
 
 def language_directory(path: Column) -> Column:

@@ -109,7 +109,7 @@ def destination_names_exact(spark, d):
     return names.exact_names(files).select("order", "dir", "destination")
 
 
-@query(f"""SELECT page_id, part, regexp_full_match(part, '{T.LANGUAGE_TAG.strip("^$")}') AS is_tag, lower(split_part(replace(trim(part), '_', '-'), '-', 1)) AS primary_tag
+@query(f"""SELECT page_id, part, regexp_full_match(part, '{T.LANGUAGE_TAG}') AS is_tag, lower(split_part(replace(trim(part), '_', '-'), '-', 1)) AS primary_tag
 FROM (SELECT page_id, unnest(string_split(regexp_replace(path, '[?#].*$', ''), '/')) AS part FROM ({_PAGE}))""")
 def language_tags(spark, d):
     parts = _pages(spark, d).select("page_id", F.explode(F.split(F.regexp_replace("path", "[?#].*$", ""), "/")).alias("part"))
