@@ -13,7 +13,7 @@ from textveil.functions import text as T
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """path, relative, name, ext, kind, content and sha256 of every file below a folder. Columns that are not used, the
-    content among them, are not read."""
+    content among them, are not read. Lock files (~$...) are left out; so are empty files, which Spark's reader passes over."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     plain = F.regexp_replace("path", "^[a-z]+:/*", "/")
     relative = F.substring_index(plain, root.split(":")[-1].rstrip("/") + "/", -1)
