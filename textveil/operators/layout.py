@@ -174,3 +174,26 @@ def largest_font(text: str, width: float, height: float, measure: Measure = em_w
 def start(align: Column, room: Column, used: Column) -> Column:
     """Where a line or block begins in its room: start, centre or end."""
     return F.when(align.isin("center", "middle", "ctr"), (room - used) / 2).when(align.isin("right", "bottom", "r", "b"), room - used).otherwise(0.0)
+
+
+def line_positions(tops: Column, widths: Column, room_width: Column, room_height: Column, line_height: Column, snapped: Column) -> Column:
+    """Places of centred lines: x and y of each, on whole pixels where the text stands upright."""
+    block = F.size(widths) * line_height
+
+    def place(value: Column) -> Column:
+        return F.when(snapped, F.bround(value)).otherwise(value)
+
+    return F.transform(widths, lambda w, k: F.struct(place((room_width - w) / 2).alias("x"), place((room_height - block) / 2 + k * line_height + tops).alias("y")))
+
+
+def source_rectangle(width_emu: Column, height_emu: Column, natural_px: Column, vertical: Column, margins: Column) -> Column:
+    """The room of a frame without autofit: its own size along the lines, the natural height across them."""
+    natural = F.ceil(natural_px * EMU_PER_PIXEL).cast("long")
+    w = F.when(vertical, F.greatest(width_emu, natural + margins["left"] + margins["right"])).otherwise(width_emu)
+    h = F.when(vertical, height_emu).otherwise(F.greatest(height_emu, natural + margins["top"] + margins["bottom"]))
+    return F.struct(w.alias("width"), h.alias("height"))
+
+
+def explicit_properties(box: Column) -> Column:
+    """What is written for a fitted box, as JSON."""
+    return F.to_json(box)

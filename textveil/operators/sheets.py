@@ -61,3 +61,12 @@ def styled(paragraphs: DataFrame, levels: list[DataFrame], keys: list[str], prop
         out = out.join(level.select(*keys, *(F.col(p).alias(f"__{k}_{p}") for p in properties)), keys, "left")
     chosen = {p: F.coalesce(F.col(p), *(F.col(f"__{k}_{p}") for k in range(len(levels)))) for p in properties}
     return out.withColumns(chosen).drop(*(f"__{k}_{p}" for k in range(len(levels)) for p in properties))
+
+
+def table_cell_bounds(cells: DataFrame, columns: DataFrame, rows: DataFrame) -> DataFrame:
+    """Width and height of table cells (doc, row, col, col_span, row_span) from the widths of the columns and the heights of
+    the rows that they span. Cells that a merged one covers (col_span or row_span 0) have none."""
+    shown = cells.where("col_span > 0 AND row_span > 0")
+    wide = shown.select("doc", "row", "col", F.explode(F.sequence("col", F.col("col") + F.col("col_span") - 1)).alias("at")).join(columns.select("doc", F.col("col").alias("at"), "emu"), ["doc", "at"]).groupBy("doc", "row", "col").agg(F.sum("emu").alias("width"))
+    high = shown.select("doc", "row", "col", F.explode(F.sequence("row", F.col("row") + F.col("row_span") - 1)).alias("at")).join(rows.select("doc", F.col("row").alias("at"), "emu"), ["doc", "at"]).groupBy("doc", "row", "col").agg(F.sum("emu").alias("height"))
+    return wide.join(high, ["doc", "row", "col"])

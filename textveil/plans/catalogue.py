@@ -477,3 +477,22 @@ def colour_estimates(spark, d):
     from textveil.operators.estimate import estimates
 
     return estimates(_pictures(spark, d), ["doc_id"])
+
+
+@query(REGIONS_SQL + """, cells AS (SELECT doc_id, pos, '<tr><td class="text">' || replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</td><td class="confidence">' || printf('%.2f%%', confidence * 100) ||
+  printf('</td><td class="colour" style="background-color: rgba(%d, %d, %d, 1.000); color: ', r, g, b) || CASE WHEN 0.2126 * r + 0.7152 * g + 0.0722 * b >= 140.0 THEN '#000000' ELSE '#ffffff' END || ';"><code>' || printf('#%02X%02X%02X', r, g, b) || '</code></td></tr>' AS h FROM regions)
+SELECT doc_id, '<!DOCTYPE html><html><head><meta charset="utf-8"><title>' || doc_id || '</title></head><body><table>' || chr(10) || string_agg(h, chr(10) ORDER BY pos) || chr(10) || '</table></body></html>' || chr(10) AS html FROM cells GROUP BY doc_id""")
+def report_pages(spark, d):
+    from textveil.operators.reports import region_page
+
+    return region_page(_regions(spark, d).withColumn("text", F.col("line")), ["doc_id"])
+
+
+@query("SELECT doc, row, col, ((col + 1) * span * 100 + 50 * span * (span - 1) * 2)::BIGINT AS width, 300::BIGINT AS height FROM (SELECT n_regionkey AS doc, n_nationkey AS row, n_nationkey % 3 AS col, n_nationkey % 2 + 1 AS span FROM nation)")
+def table_cell_bounds(spark, d):
+    n = F.col("n_nationkey")
+    cells = _table(spark, d, "nation").select(F.col("n_regionkey").alias("doc"), n.alias("row"), (n % 3).alias("col"), (n % 2 + 1).alias("col_span"), F.lit(1).alias("row_span"))
+    docs = _table(spark, d, "region").select(F.col("r_regionkey").alias("doc"))
+    columns = docs.select("doc", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("col")).withColumn("emu", (F.col("col") + 1) * 100)
+    rows = docs.select("doc", F.explode(F.sequence(F.lit(0), F.lit(30))).alias("row")).withColumn("emu", F.lit(300))
+    return sheets.table_cell_bounds(cells, columns, rows)

@@ -196,6 +196,87 @@ def wmf(data: bytes, new: Replace, language: str = "") -> tuple[bytes, int]:
     return bytes(joined), n
 
 
+# Bitmaps in vector images: change is a function of RGBA pixels that gives how many regions it changed in place.
+EMF_STRETCHDIBITS, WMF_STRETCHDIB = 81, 0x0F43
+EMF_DIB_FIELDS, WMF_DIB = 48, 28
+
+
+def emf_bitmaps(data: bytes, change: Callable) -> tuple[bytes, int]:
+    """The image with its bitmaps changed, and how many regions. Records and header keep their lengths right; bitmaps of a
+    kind that is not known stay."""
+    from textveil.sources.rasters import decode_dib, encode_dib
+
+    out, n = [], 0
+    for kind, record in emf_records(data):
+        if kind == EMF_STRETCHDIBITS and len(record) >= 80:
+            info_at, info_size, bits_at, bits_size = struct.unpack_from("<IIII", record, EMF_DIB_FIELDS)
+            try:
+                image = decode_dib(record[info_at : info_at + info_size] + record[bits_at : bits_at + bits_size], info_size).copy()
+                changed = change(image)
+            except (ValueError, struct.error):
+                changed = 0
+            if changed:
+                dib, n = encode_dib(image), n + changed
+                new = bytearray(record[:80]) + dib
+                struct.pack_into("<IIII", new, EMF_DIB_FIELDS, 80, 40, 120, len(dib) - 40)
+                new += bytes(-len(new) % 4)
+                struct.pack_into("<I", new, 4, len(new))
+                record = bytes(new)
+        out.append(record)
+    joined = bytearray(b"".join(out))
+    if len(joined) >= 52 and len(joined) != len(data):
+        struct.pack_into("<I", joined, 48, len(joined))
+    return bytes(joined), n
+
+
+def wmf_bitmaps(data: bytes, change: Callable) -> tuple[bytes, int]:
+    from textveil.sources.rasters import decode_dib, encode_dib
+
+    out, n = [], 0
+    for function, record in wmf_records(data):
+        if function == WMF_STRETCHDIB and len(record) > WMF_DIB + 40:
+            try:
+                image = decode_dib(record[WMF_DIB:]).copy()
+                changed = change(image)
+            except (ValueError, struct.error):
+                changed = 0
+            if changed:
+                new, n = bytearray(record[:WMF_DIB]) + encode_dib(image), n + changed
+                new += bytes(len(new) % 2)
+                struct.pack_into("<I", new, 0, len(new) // 2)
+                record = bytes(new)
+        out.append(record)
+    joined, start = bytearray(b"".join(out)), 22 if data.startswith(WMF_PLACEABLE) else 0
+    if n:
+        struct.pack_into("<I", joined, start + 6, len(joined) // 2)
+    return bytes(joined), n
+
+
+def svg_bitmaps(data: bytes, change: Callable) -> tuple[bytes, int]:
+    """The image with its embedded bitmaps changed; links and what cannot be decoded stay as they are."""
+    import base64
+    import binascii
+
+    from textveil.sources.rasters import decode, encode
+
+    root, n = ET.fromstring(data), 0
+    for e in root.iter():
+        for name in ("href", "{http://www.w3.org/1999/xlink}href"):
+            head, comma, body = e.get(name, "").partition(",")
+            if _local(e.tag) != "image" or not head.startswith("data:image/") or not head.endswith(";base64") or not comma:
+                continue
+            ext = "." + head[len("data:image/") :].split(";")[0].lower()
+            try:
+                image = decode(base64.b64decode(body, validate=True), ext).copy()
+                changed = change(image)
+            except (ValueError, binascii.Error):
+                continue
+            if changed:
+                n += changed
+                e.set(name, f"{head},{base64.b64encode(encode(image, ext)).decode()}")
+    return (ET.tostring(root, encoding="utf-8", xml_declaration=True), n) if n else (data, 0)
+
+
 def vector(data: bytes, ext: str, new: Replace, language: str = "") -> tuple[bytes, int]:
     if ext == ".svg":
         return svg(data, new)
