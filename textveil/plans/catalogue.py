@@ -488,7 +488,7 @@ def report_pages(spark, d):
     return region_page(_regions(spark, d).withColumn("text", F.col("line")), ["doc_id"])
 
 
-@query("SELECT doc, row, col, ((col + 1) * span * 100 + 50 * span * (span - 1) * 2)::BIGINT AS width, 300::BIGINT AS height FROM (SELECT n_regionkey AS doc, n_nationkey AS row, n_nationkey % 3 AS col, n_nationkey % 2 + 1 AS span FROM nation)")
+@query("SELECT doc, row, col, ((col + 1) * span * 100 + 50 * span * (span - 1))::BIGINT AS width, 300::BIGINT AS height FROM (SELECT n_regionkey AS doc, n_nationkey AS row, n_nationkey % 3 AS col, n_nationkey % 2 + 1 AS span FROM nation)")
 def table_cell_bounds(spark, d):
     n = F.col("n_nationkey")
     cells = _table(spark, d, "nation").select(F.col("n_regionkey").alias("doc"), n.alias("row"), (n % 3).alias("col"), (n % 2 + 1).alias("col_span"), F.lit(1).alias("row_span"))
