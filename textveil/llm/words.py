@@ -4,23 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Words that a worker keeps the hashes of, at most.
-MOST_WORDS = 500_000
-_hashes: dict[bytes, int] = {}
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    """Hashes of the words, A-Z as a-z. bytes.split cuts at the six ASCII white-space characters, bytes.lower changes A-Z only."""
-    from xxhash import xxh3_64_intdigest
-
-    if not text:
-        return np.empty(0, np.uint64)
-    words = text.encode().lower().split()
-    if len(_hashes) > MOST_WORDS:
-        _hashes.clear()
-    for w in set(words).difference(_hashes):
-        _hashes[w] = xxh3_64_intdigest(w)
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+#: Bytes that are hashed together, about; words over LONG bytes are hashed one by one.
+CHUNK, LONG = 1 << 20, 64
+_BASE = 0x9E3779B97F4A7C15
+_powers: dict[str, np.ndarray] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -32,6 +19,50 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _powers_of(base: int, n: int, name: str) -> np.ndarray:
+    if len(_powers.get(name, ())) < n:
+        _powers[name] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)])
+    return _powers[name][:n]
+
+
+def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and begins of the words of a byte string. A word is the value of a polynomial at an odd base, modulo 2^64;
+    for words of up to LONG bytes no two are known to meet but by chance."""
+    octets = np.frombuffer(raw, np.uint8)
+    white = (octets == 32) | ((octets >= 9) & (octets <= 13))
+    edge = np.flatnonzero(np.diff(white, prepend=True, append=True))
+    begin, end = edge[::2], edge[1::2]
+    sums = np.r_[np.uint64(0), np.add.accumulate((octets + np.uint64(1)) * _powers_of(_BASE, len(octets), "up"))]
+    out = (sums[end] - sums[begin]) * _powers_of(pow(_BASE, -1, 1 << 64), len(octets), "down")[begin]
+    out = mixed(out + (end - begin).astype(np.uint64))
+    if (long := np.flatnonzero(end - begin > LONG)).size:
+        from xxhash import xxh3_64_intdigest
+
+        out[long] = [xxh3_64_intdigest(raw[begin[k] : end[k]]) for k in long]
+    return out, begin
+
+
+def words_of(texts: list[str | None]) -> list[np.ndarray]:
+    """Hashes of the words of each text: runs of bytes but the six ASCII white-space characters, A-Z as a-z (bytes.lower
+    changes nothing else). Nothing depends on what is hashed together."""
+    out: list[np.ndarray] = []
+    part: list[bytes] = []
+    size = 0
+    for k, text in enumerate(texts):
+        part.append((text or "").encode().lower())
+        size += len(part[-1]) + 1
+        if size >= CHUNK or k == len(texts) - 1:
+            hashes, begin = _hashed(b"\n".join(part) + b"\n")
+            ends = np.cumsum([len(p) + 1 for p in part])
+            out += np.split(hashes, np.searchsorted(begin, ends[:-1]))
+            part, size = [], 0
+    return out
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    return words_of([text])[0]
+
+
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words, in order; of fewer words, one of all of them; of none, none."""
     k = min(k, len(words))
