@@ -59,7 +59,7 @@ def shard(docs: DataFrame, n_shards: int = 8, *, id_col: str = "doc_id", text_co
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slot = F.row_number().over(Window.partitionBy("shard", "part").orderBy("text_key", "doc_id", "row")) - 1
     numbered = found.withColumn("at", slot).join(sizes.select("shard", "part", before.alias("before")), ["shard", "part"])
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") + F.col("before")).cast("int").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") + F.col("before")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, assigned: DataFrame, path: str, *, id_col: str = "doc_id") -> None:
