@@ -141,9 +141,11 @@ def top_k(vectors: DataFrame, k: int = 5, *, every: int = 50, scale: int = 256,
     index = rows.mapInArrow(assign, "pivot int, r double, vec_id long, v array<double>")
     index = written(index.repartitionByRange("pivot", "r").sortWithinPartitions("pivot", "r"), "pivot-index")
 
-    queries = index.where(F.col("vec_id") % every == 0).select("vec_id", "v").distinct().toLocalIterator()
+    queries = written(index.where(F.col("vec_id") % every == 0).select("vec_id", "v").distinct(), "queries")
+    # one slab is fetched at once; more of them partition by partition, as a job each
+    fetched = iter(queries.collect()) if queries.count() <= slab else queries.toLocalIterator()
     parts: list[DataFrame] = []
-    while some := list(islice(queries, slab)):
+    while some := list(islice(fetched, slab)):
         state = Slab(np.array([r.vec_id for r in some], np.int64), np.array([r.v for r in some]), centres, lifts, largest, k)
         state.seed(seed_ids, seed_x)
         parts.append(_searched(index, spark.sparkContext.broadcast(state)))
