@@ -26,8 +26,8 @@ SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 PLAIN = re.compile(r"[\n -~À-ÖØ-öø-ɏ]+")
 #: Longer units are not kept, and are encoded by the library.
 LONGEST_UNIT = 128
-#: Units that a worker keeps at most: some 100 MB.
-MOST_UNITS = 400_000
+#: Units that a worker keeps at most: some 60 MB.
+MOST_UNITS = 250_000
 
 
 class _Irregular(Exception):

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 #: Bytes that are hashed together, about; words over LONG bytes are hashed one by one.
 CHUNK, LONG = 1 << 20, 64
+#: Texts that are worked on together.
+ROWS = 2000
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
 
@@ -19,6 +24,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a bounded number of rows, for work whose arrays are several times as large as the texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _powers_of(base: int, n: int, name: str) -> np.ndarray:
     if len(_powers.get(name, ())) < n:
         _powers[name] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)])
