@@ -234,3 +234,14 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
     assert floor(0.5) == 0 and len({r.sequence_id for r in got}) <= -(-sum(r.length for r in got) // 2048) + 1
+
+
+def test_repeats_behind_an_earlier_part(spark):
+    """An earlier document that holds only part of a passage does not keep the others from each other."""
+    rng = random.Random(11)
+    texts = []
+    for group in range(12):
+        shared = words(rng, 60)
+        texts += [(1000 * group, words(rng, 30) + shared[:49] + words(rng, 30))] + [(1000 * group + k, words(rng, 30) + shared + words(rng, 30)) for k in (1, 10, 11, 12)]
+    got = repeats(frame(spark, [(i, " ".join(w)) for i, w in texts]).repartition(4)).collect()
+    assert {r.doc_id for r in got} == {1000 * group + k for group in range(12) for k in (10, 11, 12)} and {r.n_words for r in got} == {60}
