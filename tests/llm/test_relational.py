@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +124,18 @@ def test_top_k(spark):
     held_against_sql("op10_top_k", top_k(one, pivots=4, seeds=16, slab=5), embeddings=one)
     assert top_k(df).where("query_id = 500").count() == 0 and top_k(df.limit(0)).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_top_k_across_the_seam_of_two_files():
+    """The rows of one pivot may come as the end of one file and then the beginning of another."""
+    from textveil.llm.topk import Slab
+
+    pivot = np.array([[60.0, 0]])
+    x = np.array([[-59.0, 0], [-60, 0], [59, 0], [58, 0]])
+    lift = np.sqrt(3600 - (x * x).sum(1))
+    r = np.sqrt(((x - pivot) ** 2).sum(1) + lift**2)
+    order = np.r_[np.argsort(r)[2:], np.argsort(r)[:2]]
+    slab = Slab(np.array([9]), pivot, pivot, np.zeros(1), 3600.0, 1)
+    slab.kth[:] = 0.0  # as after seeds
+    slab.expand(np.zeros(4, np.int32), r[order], order, x[order])
+    assert slab.top[1].tolist() == [2]

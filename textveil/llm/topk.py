@@ -87,8 +87,9 @@ class Slab:
             self.meet(np.arange(low, min(low + 512, len(self.ids))), vec, x, keep=False)
 
     def expand(self, pivot: np.ndarray, r: np.ndarray, vec: np.ndarray, x: np.ndarray) -> None:
-        """Meets the annuli that these rows, sorted by pivot and r, fall into, nearest first, until no bound allows more."""
-        cuts = np.r_[0, np.flatnonzero(np.diff(pivot)) + 1, len(pivot)]
+        """Meets the annuli that these rows, sorted by pivot and r within each file, fall into, nearest first, until no bound
+        allows more. Files come in any order, so r may fall within a pivot."""
+        cuts = np.r_[0, np.flatnonzero((np.diff(pivot) != 0) | (np.diff(r) < 0)) + 1, len(pivot)]
         annuli = [(a, min(a + ANNULUS, high)) for low, high in zip(cuts[:-1], cuts[1:]) for a in range(low, high, ANNULUS)]
         of = np.array([pivot[a] for a, _ in annuli])
         near, far = np.array([r[a] for a, _ in annuli]), np.array([r[b - 1] for _, b in annuli])
