@@ -16,8 +16,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return jaccard_join.one_of_each(docs)
+    """Of each group of near duplicates the document with the smallest id stays. Runs of five words, a similarity of 0.8."""
+    return jaccard_join.one_of_each(docs, n=5, percent=80)
 
 
 def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -245,3 +245,12 @@ def test_repeats_behind_an_earlier_part(spark):
         texts += [(1000 * group, words(rng, 30) + shared[:49] + words(rng, 30))] + [(1000 * group + k, words(rng, 30) + shared + words(rng, 30)) for k in (1, 10, 11, 12)]
     got = repeats(frame(spark, [(i, " ".join(w)) for i, w in texts]).repartition(4)).collect()
     assert {r.doc_id for r in got} == {1000 * group + k for group in range(12) for k in (10, 11, 12)} and {r.n_words for r in got} == {60}
+
+
+def test_pipeline_stage_takes_out_copies_at_four_fifths(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    base = words(rng, 100)
+    texts = [(1, " ".join(base)), (2, " ".join(base + words(rng, 20))), (3, " ".join(words(rng, 100)))]  # 96 of 116 runs of five words: 0.83
+    assert {r.doc_id for r in corpus_pipeline.ngram_jaccard_join(spark, frame(spark, texts), "").collect()} == {1, 3}
