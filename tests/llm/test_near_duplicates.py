@@ -254,3 +254,16 @@ def test_pipeline_stage_takes_out_copies_at_four_fifths(spark):
     base = words(rng, 100)
     texts = [(1, " ".join(base)), (2, " ".join(base + words(rng, 20))), (3, " ".join(words(rng, 100)))]  # 96 of 116 runs of five words: 0.83
     assert {r.doc_id for r in corpus_pipeline.ngram_jaccard_join(spark, frame(spark, texts), "").collect()} == {1, 3}
+
+
+def test_passages_at_any_place_of_a_shingle():
+    rng = random.Random(13)
+    part, end = words(rng, 60), words(rng, 20)
+    sa, sb, sc, sd = (shingles(word_hashes(" ".join(w)), 5) for w in (
+        words(rng, 5) + part + words(rng, 5),
+        words(rng, 10) + part[:30] + words(rng, 160) + part + end,
+        words(rng, 5) + part[:30] + ["other"] + part[31:],
+        words(rng, 10) + part[31:36] + words(rng, 50) + part,
+    ))
+    assert passages(sa, sb, 46) == [(5, 61, 200, 256, 1.0)]
+    assert [f[:4] for f in passages(sc, sd, 46)] == [(5, 61, 65, 121)]
