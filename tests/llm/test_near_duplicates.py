@@ -267,3 +267,11 @@ def test_passages_at_any_place_of_a_shingle():
     ))
     assert passages(sa, sb, 46) == [(5, 61, 200, 256, 1.0)]
     assert [f[:4] for f in passages(sc, sd, 46)] == [(5, 61, 65, 121)]
+
+
+@pytest.mark.parametrize("inserted", range(9, 15))
+def test_passages_over_as_wide_a_gap_as_the_similarity_allows(inserted):
+    rng = random.Random(14)
+    part = words(rng, 98)
+    sa, sb = (shingles(word_hashes(" ".join(w)), 5) for w in (part[:49] + words(rng, inserted) + part[49:], part))
+    assert [f[:4] for f in passages(sa, sb, 46)] == [(0, 94 + inserted, 0, 94)]
