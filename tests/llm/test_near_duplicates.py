@@ -282,3 +282,16 @@ def test_enough_hash_functions():
     from textveil.llm.substring_dedup import HASHES, SIMILARITY
 
     assert (1 - SIMILARITY) ** HASHES + HASHES * SIMILARITY * (1 - SIMILARITY) ** (HASHES - 1) < 0.002
+
+
+def test_all_windows_of_a_key_are_linked():
+    """Every place of the later document with every place of the first one, also if a batch ends between them."""
+    from textveil.llm.substring_dedup import _linked
+
+    rows = np.array([[1, 0, doc, place, place, place + 50] for doc, place in ((3, 5), (3, 70), (500, 10), (500, 900), (600, 1))]).T
+    batch, heads = _linked(rows, 0, 1)
+    links = {tuple(r[k] for k in ("doc", "c", "doc0", "c0")) for r in batch.to_pylist() if r["doc0"] is not None}
+    assert links == {(500, 10, 3, 5), (500, 10, 3, 70), (500, 900, 3, 5), (500, 900, 3, 70), (600, 1, 3, 5), (600, 1, 3, 70)}
+    assert [r["doc"] for r in batch.to_pylist() if r["doc0"] is None] == [500, 500, 600] and heads[2].tolist() == [3, 3]
+    batch, _ = _linked(np.concatenate([heads, rows[:, 4:]], axis=1), 2, 1)
+    assert {(r["doc"], r["c0"]) for r in batch.to_pylist() if r["doc0"] is not None} == {(600, 5), (600, 70)}
