@@ -295,3 +295,17 @@ def test_all_windows_of_a_key_are_linked():
     assert [r["doc"] for r in batch.to_pylist() if r["doc0"] is None] == [500, 500, 600] and heads[2].tolist() == [3, 3]
     batch, _ = _linked(np.concatenate([heads, rows[:, 4:]], axis=1), 2, 1)
     assert {(r["doc"], r["c0"]) for r in batch.to_pylist() if r["doc0"] is not None} == {(600, 5), (600, 70)}
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    rng = random.Random(15)
+    base, other, third, near, part = (" ".join(words(rng, 60)) for _ in range(5))
+    docs = frame(spark, [(1, base), (None, base), (None, other), (5, base), (5, third), (None, near + " a"), (None, near + " b")])
+    left = Counter((r.doc_id, r.text if r.text[:-2] != near else near) for r in J.one_of_each(docs).collect())
+    assert left == Counter({(1, base): 1, (None, other): 1, (5, third): 1, (None, near): 1})
+    docs = frame(spark, [(1, part), (5, part + " " + base), (5, other)])
+    assert {(r.doc_id, r.text) for r in without_repeats(docs).collect()} == {(1, part), (5, base), (5, other)}
+    from textveil.llm.quality import kept_documents
+
+    docs = frame(spark, [(None, base), (None, "too short"), (6, other), (6, "short")])
+    assert {r.text for r in kept_documents(docs, spark.createDataFrame([], "doc_id long")).collect()} == {base, other}

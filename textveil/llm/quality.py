@@ -39,7 +39,7 @@ def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     An array that a lambda looks into is a column of its own, or it would be made anew for each element."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.struct(F.monotonically_increasing_id().alias("n"), F.xxhash64(text).alias("text")).alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda line: F.rlike(line, F.lit(WORDS)))
     rows = rows.select("row", "doc_id", F.regexp_extract_all("text", F.lit(WORDS), 0).alias("words"), F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"), lines.alias("lines"))
     rows = rows.select(
@@ -94,15 +94,20 @@ def judge(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_c
     trusted: doc_ids of a bounded number of good documents (see trusted_ids); with none, every ratio is 0. A null text
     has no words; without words the score is 0. Repeated rows are judged each, and alike; other columns are not looked
     at; an empty table gives an empty table."""
+    return _judged(docs, trusted, id_col, text_col, threshold, prior).drop("text_key")
+
+
+def _judged(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, prior: float = PRIOR) -> DataFrame:
     measured = _measured(docs, id_col, text_col)
     table = ratios(measured, trusted, prior)
     spread = measured.select("row", "doc_id", *BASE, F.explode_outer("grams").alias("bucket"))
     scored = spread.join(F.broadcast(table), "bucket", "left").groupBy("row", "doc_id", *BASE).agg(F.coalesce(F.avg("ratio"), F.lit(0.0)).alias("score"))
-    return scored.select("doc_id", *BASE, base_failed().alias("base_failed"), "score", (~base_failed() & (F.col("score") >= threshold)).alias("kept"))
+    return scored.select("doc_id", F.col("row.text").alias("text_key"), *BASE, base_failed().alias("base_failed"), "score", (~base_failed() & (F.col("score") >= threshold)).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that are kept, with all their columns. For tables whose ids are unique: a row with a null id, or
-    with an id that several rows share, goes if any row of that id is rejected."""
-    gone = judge(docs, trusted, id_col=id_col, text_col=text_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of docs that are kept, with all their columns. Rows that share an id, or have none, are told apart by
+    their texts."""
+    gone = _judged(docs, trusted, id_col, text_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__text")).distinct()
+    text = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")) & (text == F.col("__text")), "left_anti")
