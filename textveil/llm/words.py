@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes that are hashed together, about; words over LONG bytes are hashed one by one.
-CHUNK, LONG = 1 << 20, 64
-#: Texts that are worked on together.
-ROWS = 2000
+CHUNK, LONG = 1 << 18, 64
+#: Bytes of texts that are worked on together, and texts at most.
+BYTES, ROWS = 1 << 21, 2000
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
 
@@ -24,11 +26,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def small(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of a bounded number of rows, for work whose arrays are several times as large as the texts."""
+def small(batches: Iterator[pa.RecordBatch], text: int = -1) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a bounded number of rows and of bytes in the column of texts (one text may be longer), for
+    work whose arrays are several times as large as the texts."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        sizes = pc.fill_null(pc.binary_length(batch.column(text if text >= 0 else batch.num_columns - 1)), 0)
+        part = np.cumsum(np.r_[0, sizes.to_numpy(zero_copy_only=False)])[:-1] // BYTES
+        begins = np.unique(np.r_[np.arange(0, batch.num_rows, ROWS), np.flatnonzero(np.diff(part)) + 1])
+        for at, end in zip(begins.tolist(), [*begins[1:].tolist(), batch.num_rows]):
+            yield batch.slice(at, end - at)
 
 
 def _powers_of(base: int, n: int, name: str) -> np.ndarray:
@@ -44,9 +50,12 @@ def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     white = (octets == 32) | ((octets >= 9) & (octets <= 13))
     edge = np.flatnonzero(np.diff(white, prepend=True, append=True))
     begin, end = edge[::2], edge[1::2]
-    sums = np.r_[np.uint64(0), np.add.accumulate((octets + np.uint64(1)) * _powers_of(_BASE, len(octets), "up"))]
-    out = (sums[end] - sums[begin]) * _powers_of(pow(_BASE, -1, 1 << 64), len(octets), "down")[begin]
-    out = mixed(out + (end - begin).astype(np.uint64))
+    if len(octets) > 4 * CHUNK:  # a single word, longer than all that is hashed together
+        out = np.zeros(len(begin), np.uint64)
+    else:
+        sums = np.r_[np.uint64(0), np.add.accumulate((octets + np.uint64(1)) * _powers_of(_BASE, len(octets), "up"))]
+        out = (sums[end] - sums[begin]) * _powers_of(pow(_BASE, -1, 1 << 64), len(octets), "down")[begin]
+        out = mixed(out + (end - begin).astype(np.uint64))
     if (long := np.flatnonzero(end - begin > LONG)).size:
         from xxhash import xxh3_64_intdigest
 
@@ -54,20 +63,51 @@ def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """A byte string, cut at white space into pieces of some CHUNK bytes; a longer one holds one long word at its end."""
+    at = 0
+    while len(raw) - at > 2 * CHUNK:
+        cut = next((m.end() for m in [_WHITE.search(raw, at + CHUNK)] if m), len(raw))
+        if cut - at > 2 * CHUNK:  # the word that lies over the place goes alone
+            start = max((raw.rfind(w, at, at + CHUNK) + 1 for w in (b" ", *(bytes([c]) for c in range(9, 14)))), default=0)
+            if start > at:
+                yield raw[at:start]
+                at = start
+        yield raw[at:cut]
+        at = cut
+    yield raw[at:]
+
+
 def words_of(texts: list[str | None]) -> list[np.ndarray]:
     """Hashes of the words of each text: runs of bytes but the six ASCII white-space characters, A-Z as a-z (bytes.lower
-    changes nothing else). Nothing depends on what is hashed together."""
+    changes nothing else). Nothing depends on what is hashed together, and texts of any length take some 50 bytes for
+    each byte of CHUNK besides 8 for each word."""
     out: list[np.ndarray] = []
     part: list[bytes] = []
     size = 0
-    for k, text in enumerate(texts):
-        part.append((text or "").encode().lower())
-        size += len(part[-1]) + 1
-        if size >= CHUNK or k == len(texts) - 1:
+
+    def flush() -> None:
+        nonlocal part, size
+        if part:
             hashes, begin = _hashed(b"\n".join(part) + b"\n")
             ends = np.cumsum([len(p) + 1 for p in part])
-            out += np.split(hashes, np.searchsorted(begin, ends[:-1]))
+            out.extend(np.split(hashes, np.searchsorted(begin, ends[:-1])))
             part, size = [], 0
+
+    for text in texts:
+        raw = (text or "").encode().lower()
+        if len(raw) > CHUNK:
+            flush()
+            out.append(np.concatenate([_hashed(piece)[0] for piece in _pieces(raw)]))
+            continue
+        part.append(raw)
+        size += len(raw) + 1
+        if size >= CHUNK:
+            flush()
+    flush()
     return out
 
 
