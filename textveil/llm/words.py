@@ -81,7 +81,7 @@ def _pieces(raw: bytes) -> Iterator[bytes]:
     yield raw[at:]
 
 
-def words_of(texts: list[str | None]) -> list[np.ndarray]:
+def words_of(texts: list[str | bytes | None]) -> list[np.ndarray]:
     """Hashes of the words of each text: runs of bytes but the six ASCII white-space characters, A-Z as a-z (bytes.lower
     changes nothing else). Nothing depends on what is hashed together, and texts of any length take some 50 bytes for
     each byte of CHUNK besides 8 for each word."""
@@ -98,7 +98,7 @@ def words_of(texts: list[str | None]) -> list[np.ndarray]:
             part, size = [], 0
 
     for text in texts:
-        raw = (text or "").encode().lower()
+        raw = (text if isinstance(text, bytes) else (text or "").encode()).lower()
         if len(raw) > CHUNK:
             flush()
             out.append(np.concatenate([_hashed(piece)[0] for piece in _pieces(raw)]))
@@ -111,7 +111,7 @@ def words_of(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def word_hashes(text: str | None) -> np.ndarray:
+def word_hashes(text: str | bytes | None) -> np.ndarray:
     return words_of([text])[0]
 
 
