@@ -287,14 +287,14 @@ def test_enough_hash_functions():
     assert (1 - SIMILARITY**2) ** PAIRS < 0.02
 
 
-def linked(rows, batches, first, heads, **how):
+def linked(rows, batches, whole):
     """The links, as (doc, place, doc0, place0), and the windows marked, of rows that come in several batches."""
     from textveil.llm.substring_dedup import _linked
 
-    links, marked, held, old = set(), [], np.empty((4, 0), np.int64), 0
+    links, marked, held, old = set(), [], np.empty((3, 0), np.int64), 0
     for part in batches:
         data = np.concatenate([held, np.array([rows[k] for k in part]).T], axis=1)
-        batch, held = _linked(data, old, first, heads, **how)
+        batch, held = _linked(data, old, whole)
         old = held.shape[1]
         links |= {(r["doc"], r["place"], r["doc0"], r["place0"]) for r in batch.to_pylist() if r["doc0"] is not None}
         marked += [(r["key"], r["doc"], r["place"]) for r in batch.to_pylist() if r["doc0"] is None]
@@ -303,13 +303,12 @@ def linked(rows, batches, first, heads, **how):
 
 def test_all_windows_of_a_key_are_linked():
     """Every place of the later document with every place of the first one, also if a batch ends between them."""
-    rows = [[1, doc, place, 1] for doc, place in ((3, 5), (3, 70), (500, 10), (500, 900), (600, 1))]
+    rows = [[1, doc, place] for doc, place in ((3, 5), (3, 70), (500, 10), (500, 900), (600, 1))]
     want = {(doc, place, 3, other) for doc, place in ((500, 10), (500, 900), (600, 1)) for other in (5, 70)}
     for batches in ([range(5)], [range(2), range(2, 4), range(4, 5)], [range(4), range(4, 5)]):
-        assert linked(rows, batches, 0, 1) == (want, [(1, 500, 10), (1, 500, 900), (1, 600, 1)])
-    assert linked(rows, [range(4), range(4, 5)], 1, 2) == ({(600, 1, 500, 10), (600, 1, 500, 900)}, [(1, 600, 1)])
-    wide = [[1, 3, place, 1] for place in range(9)] + [[1, 4, 0, 1], [1, 5, 0, 0]]
-    assert linked(wide, [range(11)], 0, 1) == ({(4, 0, 3, -1)}, [(1, 4, 0)])  # too many places: anywhere; a closed window is not linked
+        assert linked(rows, batches, {}) == (want, [])
+    wide = [[1, 3, place] for place in range(9)] + [[1, 4, 0], [2, 5, 0]]
+    assert linked(wide, [range(11)], {}) == ({(4, 0, 3, -1)}, [])  # too many places: anywhere
 
 
 def test_hot_keys_are_linked_in_parts():
@@ -319,10 +318,30 @@ def test_hot_keys_are_linked_in_parts():
     names = parts_of(hot)
     assert len(names) == 2 * PARTS and names[int(part_key(hot[1:], np.uint64(3))[0])] == 77
     key = int(part_key(hot[:1], np.uint64(1))[0])
-    links, marked = linked([[key, doc, 9, 1] for doc in (2, 4, 8)], [range(2), range(2, 3)], 0, 1, whole=names)
+    links, marked = linked([[key, doc, 9] for doc in (2, 4, 8)], [range(2), range(2, 3)], names)
     assert links == {(4, 9, 2, 9), (8, 9, 2, 9)} and marked == [(-5, 2, 9)]
 
 
+def test_run_keys_and_windows_that_repeat():
+    from textveil.llm.substring_dedup import again, run_keys
+
+    s = np.array([3, 4, 5, 6] * 3 + [9], np.uint64)
+    for width in (1, 2, 3, 4, 5, 7, 8, 13, 14):
+        keys = run_keys(s, width)
+        runs = [tuple(s[k : k + width]) for k in range(len(s) - width + 1)]
+        assert len(keys) == len(runs) and len(set(zip(keys.tolist(), runs))) == len(set(keys.tolist())) == len(set(runs))
+    which, key, first = np.zeros(9, int), np.r_[np.ones(8, int), 2], np.arange(9)
+    assert again(which, key, first, key, key, 3).tolist() == [False, True, True, False, True, True, False, True, False]
+    assert not again(which, key, first, first, key, 3).any()
+
+
+def test_passages_of_repeated_words():
+    """Words repeated over and over are one passage, also if there are more of them than in the earlier document."""
+    rng = random.Random(31)
+    sa, sb = (shingles(word_hashes(" ".join(w)), 5) for w in (words(rng, 20) + ["of"] * 900 + words(rng, 20), ["of"] * 60 + words(rng, 9)))
+    assert [f[:2] for f in passages(sa, sb, 46)] == [(20, 916)]
+
+
 def test_repeats_with_hot_keys(spark, monkeypatch):
     """Results hold where signatures are dealt to parts, and with several turns."""
     from textveil.llm import substring_dedup as S
