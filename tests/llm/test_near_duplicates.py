@@ -340,6 +340,11 @@ def test_passages_of_repeated_words():
     rng = random.Random(31)
     sa, sb = (shingles(word_hashes(" ".join(w)), 5) for w in (words(rng, 20) + ["of"] * 900 + words(rng, 20), ["of"] * 60 + words(rng, 9)))
     assert [f[:2] for f in passages(sa, sb, 46)] == [(20, 916)]
+    line = words(rng, 31)
+    many = shingles(word_hashes(" ".join(line * 300)), 5)
+    changed = shingles(word_hashes(" ".join((line[:4] + ["other"] + line[5:]) * 300)), 5)
+    assert passages(changed, many, 46) == []  # 26 of 36 different runs: 0.72, at 90,000 places
+    assert [f[:2] for f in passages(many[:5000], many, 46)] == [(0, 5000)]
 
 
 def test_repeats_with_hot_keys(spark, monkeypatch):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textveil.llm.common import written
+from textveil.llm.common import lean, written
 from textveil.llm.tokens import encoder
 
 SIZE = 2048
@@ -139,7 +139,7 @@ def pieces(docs: DataFrame, vocabulary: str, ranks: str | None = None, *, id_col
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, PIECES_SQL)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(encode), PIECES_SQL)
 
 
 def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = 0, group: int = GROUP) -> DataFrame:
@@ -175,4 +175,4 @@ def place(found: DataFrame, counts: dict[int, int], *, size: int = SIZE, group:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3).cast(pa.int64()), batch.column(4), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     columns = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return columns.mapInArrow(deal, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return columns.mapInArrow(lean(deal), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

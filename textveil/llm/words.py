@@ -43,6 +43,11 @@ def _powers_of(base: int, n: int, name: str) -> np.ndarray:
     return _powers[name][:n]
 
 
+def powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base, and of its inverse, modulo 2^64."""
+    return tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
 def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and begins of the words of a byte string. A word is the value of a polynomial at an odd base, modulo 2^64;
     for words of up to LONG bytes no two are known to meet but by chance."""
