@@ -44,6 +44,7 @@ def test_boxes_and_cells(spark):
     assert {r.ref: (r.type, r.value) for r in packages.cells(done).collect()} == {"A1": ("inlineStr", "##"), "B1": ("n", "2")}
     assert frames.decoded_codes(b"\x00\x01\x02\x00", {b"\x00\x01": "A", b"\x02": "b"}) == "Ab"
     square = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    assert frames.contained_offset([(100, 50, 141, 54)], [(0, 0), (300, 0), (0, 100)], (-9, -9), (9, 9)) == (-3, 0)  # to a side rather than up
     assert frames.contained_offset([(-2, 1, 4, 5)], square, (-5, -5), (5, 5)) == (2, 0) and frames.contained_offset([(0, 0, 20, 5)], square, (-5, -5), (5, 5)) is None
 
 

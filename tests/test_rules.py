@@ -153,10 +153,13 @@ def test_layout():
     assert len(layout.lines(paragraph(""), 100, 1.0)) == 1
     assert len(layout.lines(paragraph("日" * 10), 16 * 5, 1.0)) == 2
     scale, status = layout.fit_scale([paragraph("word " * 100)], 200, 100)
-    assert status == "fits" and 0 < scale < 1
+    assert status == "fit" and 0 < scale < 1
+    # a line feed of its own ends a line, and what follows is one too; behind a word it is white space of that word
+    assert [len(layout.lines(paragraph(t), 100, 1.0)) for t in ("\n", "\na", "a\nb", "\n\n")] == [2, 2, 1, 3]
+    assert len(layout.lines(paragraph("aaaa bbbb "), layout.em_width("aaaa bbbb", 16.0), 1.0)) == 2  # the space behind counts
     heights = [layout.total_height([paragraph("word " * 30)], 200, s)[0] for s in (0.3, 0.5, 0.8, 1.0)]
     assert heights == sorted(heights)
-    assert layout.fit_scale([paragraph("word " * 10**4)], 10, 5)[1] == "overflow" and layout.fit_scale([paragraph("a")], 500, 500) == (1.0, "fits")
+    assert layout.fit_scale([paragraph("word " * 10**4)], 10, 5)[1] == "overflow" and layout.fit_scale([paragraph("a")], 500, 500) == (1.0, "fit")
     spaced = layout.total_height([paragraph("a", spacing=1.0, exact=True)], 100, 1.0)[0]
     assert spaced == pytest.approx(16 * 1.2) and layout.total_height([paragraph("a", spacing=0.5)], 100, 1.0)[0] == pytest.approx(8 * 1.2)
     assert layout.largest_font("two words", 200, 40) > layout.largest_font("two words", 100, 40)

@@ -64,8 +64,8 @@ def test_packages(spark, files):
         assert "<w:t>####</w:t>" in document and 'xmlns:w14="urn:w14"' in document
         assert all(a.compress_type == b.compress_type for a, b in zip(z.infolist(), old.infolist()))
     assert [tuple(r) for r in packages.relationships(good).collect()] == [("a.docx", "word/document.xml", "word/media/a.png")]
-    reached = graph.reachable(packages.relationships(good), spark.createDataFrame([("word/document.xml",)], "node string"))
-    assert {r.node: r.hops for r in reached.collect()} == {"word/document.xml": 0, "word/media/a.png": 1}
+    reached = graph.reachable(packages.relationships(good), spark.createDataFrame([("a.docx", "word/document.xml"), ("b.docx", "word/document.xml")], "doc_id string, node string"), ["doc_id"])
+    assert {(r.doc_id, r.node): r.hops for r in reached.collect()} == {("a.docx", "word/document.xml"): 0, ("a.docx", "word/media/a.png"): 1, ("b.docx", "word/document.xml"): 0}
     cells = sheets.cell_texts(packages.cells(good), packages.shared_strings(good))
     assert {r.ref: r.text for r in cells.collect()} == {"A1": "two runs", "B1": "in", "C1": None}
     assert packages.is_bitmap_part and good.where(packages.is_bitmap_part(F.col("part_name"))).count() == 1

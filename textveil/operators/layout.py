@@ -61,7 +61,7 @@ def tokens(text: str) -> list[str]:
 def lines(paragraph: dict, width: float, scale: float, measure: Measure = em_width) -> list[tuple[float, float]]:
     """(width, largest size in pixels) of the lines of a paragraph; a token wider than a line falls into characters."""
     default = max([POINTS * PIXELS_PER_POINT, *()]) * scale
-    room = width - (paragraph["left_emu"] or 0) / EMU_PER_PIXEL
+    room = max(0.0, width - (paragraph["left_emu"] or 0) / EMU_PER_PIXEL)
     out, at, tallest, any_ = [], 0.0, 0.0, False
 
     def end() -> None:
@@ -76,15 +76,11 @@ def lines(paragraph: dict, width: float, scale: float, measure: Measure = em_wid
             if token in "\n\v":
                 end()
                 continue
-            if any_ and at + measure(token.rstrip(), size) > room:
-                end()
-            parts = [token] if measure(token.rstrip(), size) <= room else list(token)
-            for part in parts:
-                if any_ and len(parts) > 1 and at + measure(part, size) > room:
+            for part in [token] if room <= 0 or measure(token, size) <= room else list(token):
+                if any_ and room > 0 and at + measure(part, size) > room:
                     end()
                 at, tallest, any_ = at + measure(part, size), max(tallest, size), True
-    if any_ or not out:
-        end()
+    end()  # what follows the last break is a line too, though it be empty
     return out
 
 
@@ -102,14 +98,14 @@ def total_height(paragraphs: list[dict], width: float, scale: float, measure: Me
 
 
 def fit_scale(paragraphs: list[dict], width: float, height: float, measure: Measure = em_width) -> tuple[float, str]:
-    """The largest scale found by bisection at which everything fits, and fits or overflow."""
+    """The largest scale found by bisection at which everything fits, and fit or overflow."""
 
     def fits(scale: float) -> bool:
         h, w = total_height(paragraphs, width, scale, measure)
         return h <= height and w <= width + 1e-9
 
     if fits(1.0):
-        return 1.0, "fits"
+        return 1.0, "fit"
     largest = max([POINTS * PIXELS_PER_POINT, *((r["points"] or POINTS) * PIXELS_PER_POINT for p in paragraphs for r in p["runs"])])
     low, high = 1 / largest, 1.0
     if not fits(low):
@@ -117,7 +113,7 @@ def fit_scale(paragraphs: list[dict], width: float, height: float, measure: Meas
     for _ in range(HALVINGS):
         middle = (low + high) / 2
         low, high = (middle, high) if fits(middle) else (low, middle)
-    return low, "fits"
+    return low, "fit"
 
 
 def content_size(width_emu: Column, height_emu: Column, margins: Column, vertical: Column) -> Column:
@@ -187,10 +183,11 @@ def line_positions(tops: Column, widths: Column, room_width: Column, room_height
 
 
 def source_rectangle(width_emu: Column, height_emu: Column, natural_px: Column, vertical: Column, margins: Column) -> Column:
-    """The room of a frame without autofit: its own size along the lines, the natural height across them."""
-    natural = F.ceil(natural_px * EMU_PER_PIXEL).cast("long")
-    w = F.when(vertical, F.greatest(width_emu, natural + margins["left"] + margins["right"])).otherwise(width_emu)
-    h = F.when(vertical, height_emu).otherwise(F.greatest(height_emu, natural + margins["top"] + margins["bottom"]))
+    """The room of a frame without autofit: its own size along the lines, across them the natural height, to the nearest
+    EMU, larger or smaller than its own, and the margins."""
+    natural = F.greatest(F.lit(0), F.bround(natural_px * EMU_PER_PIXEL)).cast("long")
+    w = F.when(vertical, natural + margins["left"] + margins["right"]).otherwise(width_emu)
+    h = F.when(vertical, height_emu).otherwise(natural + margins["top"] + margins["bottom"])
     return F.struct(w.alias("width"), h.alias("height"))
 
 

@@ -367,13 +367,25 @@ def _edges(spark, d):
     return to.select(F.concat(F.lit("n"), "k").alias("src"), F.concat(F.lit("n"), "t").alias("dst")).distinct()
 
 
-@query(f"WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({_EDGES})), r(node, hops) AS (SELECT 'n1', 0 UNION SELECT e.dst, hops + 1 FROM r JOIN e ON e.src = node WHERE hops < 5) SELECT node, min(hops) AS hops FROM r GROUP BY node")
+# A shortest path has fewer edges than there are nodes: these SQL twins are bound by that alone.
+@query(f"WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({_EDGES})), r(node, hops) AS (SELECT 'n1', 0 UNION SELECT e.dst, hops + 1 FROM r JOIN e ON e.src = node WHERE hops < (SELECT count(*) FROM nation)) SELECT node, min(hops) AS hops FROM r GROUP BY node")
 def relationship_closure(spark, d):
-    return graph.reachable(_edges(spark, d), spark.createDataFrame([("n1",)], "node string"), depth=5)
+    return graph.reachable(_edges(spark, d), spark.createDataFrame([("n1",)], "node string"))
+
+
+# Two packages whose parts have the same names: a chain of 40 in one, every second link in the other.
+_CHAINS = "SELECT 'a' AS doc_id, 'p' || k AS src, 'p' || (k + 1) AS dst FROM range(40) t(k) UNION ALL SELECT 'b', 'p' || k, 'p' || (k + 1) FROM range(40) t(k) WHERE k % 10 <> 7"
+
+
+@query(f"WITH RECURSIVE e AS ({_CHAINS}), r(doc_id, node, hops) AS (SELECT unnest(['a', 'b']), 'p0', 0 UNION SELECT e.doc_id, e.dst, hops + 1 FROM r JOIN e ON e.src = node AND e.doc_id = r.doc_id WHERE hops < 80) SELECT doc_id, node, min(hops)::INT AS hops FROM r GROUP BY doc_id, node")
+def relationship_chains(spark, d):
+    k = spark.range(40).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("doc_id"), "id").where("doc_id = 'a' OR id % 10 <> 7")
+    edges = k.select("doc_id", F.concat(F.lit("p"), "id").alias("src"), F.concat(F.lit("p"), F.col("id") + 1).alias("dst"))
+    return graph.reachable(edges, spark.createDataFrame([("a", "p0"), ("b", "p0")], "doc_id string, node string"), ["doc_id"])
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst, substr(dst, 2)::INT AS place FROM ({_EDGES})), r(node, hops, route, places) AS (
-  SELECT 'n2', 0, ['n2'], [0] UNION ALL SELECT e.dst, hops + 1, list_append(route, e.dst), list_append(places, e.place) FROM r JOIN e ON e.src = node WHERE hops < 4 AND NOT list_contains(route, e.dst))
+  SELECT 'n2', 0, ['n2'], [0] UNION ALL SELECT e.dst, hops + 1, list_append(route, e.dst), list_append(places, e.place) FROM r JOIN e ON e.src = node WHERE NOT list_contains(route, e.dst))
 SELECT node, min(hops) AS hops, array_to_string(first(route ORDER BY hops, places), '>') AS route FROM r GROUP BY node""")
 def translation_route(spark, d):
     return graph.routes(_edges(spark, d).withColumn("place", F.substring("dst", 2, 9).cast("int")), "n2")

@@ -17,7 +17,7 @@ P = "http://schemas.openxmlformats.org/presentationml/2006/main"
 WP = "http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"
 # Default insets of a frame in EMU, and the order that DrawingML wants for what is in a run's properties.
 INSETS = {"lIns": 91_440, "tIns": 45_720, "rIns": 91_440, "bIns": 45_720}
-RUN_ORDER = ("ln", "noFill", "solidFill", "gradFill", "blipFill", "pattFill", "grpFill", "effectLst", "highlight", "latin", "ea", "cs", "sym", "hlinkClick", "rtl", "extLst")
+RUN_ORDER = ("ln", "noFill", "solidFill", "gradFill", "blipFill", "pattFill", "grpFill", "effectLst", "effectDag", "highlight", "uLnTx", "uLn", "uFillTx", "uFill", "latin", "ea", "cs", "sym", "hlinkClick", "hlinkMouseOver", "rtl", "extLst")
 FRAMES = f"doc_id string, part_name string, locator string, width bigint, height bigint, rotation double, direction string, autofit string, margins struct<left:bigint,top:bigint,right:bigint,bottom:bigint>, paragraphs array<struct<{PARAGRAPH}>>"
 
 
@@ -194,12 +194,13 @@ def decoded_codes(raw: bytes, codes: dict[bytes, str]) -> str:
 
 
 def contained_offset(boxes: list[tuple[float, float, float, float]], polygon: list[tuple[float, float]], low: tuple[int, int], high: tuple[int, int], inside: Callable[[float, float], bool] | None = None) -> tuple[int, int] | None:
-    """The whole-number shift nearest to none at which all boxes (left, top, right, bottom) lie in a convex polygon."""
+    """The whole-number shift at which all boxes (left, top, right, bottom) lie in a convex polygon: the least one down or
+    up, and of those the least one to a side; of equal ones the negative."""
 
     def holds(x: float, y: float) -> bool:
         signs = [c for (ax, ay), (bx, by) in zip(polygon, polygon[1:] + polygon[:1]) if abs(c := (bx - ax) * (y - ay) - (by - ay) * (x - ax)) > 1e-6]
         return all(c > 0 for c in signs) or all(c < 0 for c in signs)
 
-    shifts = sorted(((dx, dy) for dx in range(low[0], high[0] + 1) for dy in range(low[1], high[1] + 1)), key=lambda s: (abs(s[0]) + abs(s[1]), abs(s[1]), s))
+    shifts = sorted(((dx, dy) for dx in range(low[0], high[0] + 1) for dy in range(low[1], high[1] + 1)), key=lambda s: (abs(s[1]), s[1], abs(s[0]), s[0]))
     test = inside or holds
     return next((s for s in shifts if all(test(x + s[0], y + s[1]) for left, top, right, bottom in boxes for x in (left, right) for y in (top, bottom))), None)
