@@ -6,7 +6,7 @@ import pytest
 
 from textveil.operators import providers
 from textveil.plans import folder
-from textveil.sources import rasters
+from textveil.sources import folders, frames, packages, rasters
 from textveil.streaming import arrivals
 
 
@@ -48,6 +48,30 @@ def test_folder_run(spark, tmp_path):
         folder.run(spark, str(src), str(src / "sub"))
 
 
+def test_broken_parts_and_taken_names(spark, tmp_path):
+    """A broken part stays as it is beside the others; a file that is there is not written over."""
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir(), out.mkdir()
+    (out / "t.svg").write_bytes(b"there")
+    (src / "t.svg").write_bytes(b"<svg><text>Hello</text></svg>")
+    with zipfile.ZipFile(src / "d.docx", "w") as z:
+        z.writestr("word/document.xml", '<w:d xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:t>Hi</w:t></w:d>')
+        z.writestr("word/header1.xml", "<broken")
+        z.writestr("word/_rels/document.xml.rels", "<broken")
+    with zipfile.ZipFile(src / "e.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", "no xml")
+    row = folder.run(spark, str(src), str(out)).first()
+    assert (row.processed, row.failed) == (3, 0)
+    assert (out / "t.svg").read_bytes() == b"there" and b"#####" in (out / "t (2).svg").read_bytes()
+    with zipfile.ZipFile(out / "d.docx") as z:
+        assert b"##" in z.read("word/document.xml") and z.read("word/header1.xml") == b"<broken"
+    with zipfile.ZipFile(out / "e.xlsx") as z:
+        assert z.read("xl/sharedStrings.xml") == b"no xml"
+    parts = packages.parts(folders.scan(spark, str(src)).where("kind = 'office'"))
+    assert packages.relationships(parts).count() == packages.shared_strings(parts).count() == packages.cells(parts).count() == 0
+    assert frames.slide_frames(b"<broken") == [] and frames.docx_boxes(b"") == []
+
+
 def test_arrivals(spark, tmp_path):
     def step(rows):
         spark.createDataFrame(rows, "doc_id long, text string").write.mode("append").parquet(str(tmp_path / "in"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,17 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return named.select("path", "relative", "name", F.lower(T.suffix(F.col("name"))).alias("ext"), T.kind_of(F.col("name")).alias("kind"), "content", F.sha2("content", 256).alias("sha256")).where("name NOT LIKE '~$%'")
 
 
+def present(spark: SparkSession, root: str) -> DataFrame:
+    """dir and name of the files below a folder, of which none need be there. Contents are not read."""
+    try:
+        files = scan(spark, root)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "dir string, name string")
+    return files.select(F.when(F.contains("relative", F.lit("/")), F.regexp_replace("relative", "/[^/]*$", "")).otherwise("").alias("dir"), "name")
+
+
 def images(spark: SparkSession, root: str) -> DataFrame:
     """Bitmaps below language directories, with language and progress folder."""
     found = scan(spark, root).where("kind = 'bitmap'")

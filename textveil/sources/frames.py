@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textveil.operators.layout import PARAGRAPH
-from textveil.sources.packages import A, W, X, bindings, serialized
+from textveil.sources.packages import A, W, X, bindings, elements, parsed, serialized
 
 P = "http://schemas.openxmlformats.org/presentationml/2006/main"
 WP = "http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"
@@ -67,7 +67,7 @@ def _shapes(tree: ET.Element, path: str) -> Iterator[tuple[str, ET.Element, ET.E
 def slide_frames(data: bytes) -> list[dict]:
     """Frames of a slide in order; those of white space only are left out."""
     out = []
-    for here, shape, body in (s for tree in ET.fromstring(data).iter(f"{{{P}}}spTree") for s in _shapes(tree, "")):
+    for here, shape, body in (s for tree in elements(data, f"{{{P}}}spTree") for s in _shapes(tree, "")):
         paragraphs = [drawing_paragraph(p) for p in body.findall(f"{{{A}}}p")]
         if not any(r["text"].strip() for p in paragraphs for r in p["runs"]):
             continue
@@ -130,7 +130,10 @@ def written_frames(part_rows: DataFrame, fitted: DataFrame) -> DataFrame:
             out = []
             for content, todo in zip(b["content"], b["frames"]):
                 by_place = {f["locator"].rpartition("shape ")[2]: f for f in todo}
-                root = ET.fromstring(content)
+                root = parsed(content)
+                if root is None:
+                    out.append(content)
+                    continue
                 for here, _, body in [s for tree in root.iter(f"{{{P}}}spTree") for s in _shapes(tree, "")]:
                     if here in by_place:
                         with_frame(body, list(by_place[here]["paragraphs"]), by_place[here]["font_scale"])
@@ -143,7 +146,9 @@ def written_frames(part_rows: DataFrame, fitted: DataFrame) -> DataFrame:
 
 def docx_boxes(data: bytes) -> list[tuple[int, int, str]]:
     """Width, height and text of text boxes with a known extent: that of the nearest element above that has one."""
-    root = ET.fromstring(data)
+    root = parsed(data)
+    if root is None:
+        return []
     above = {c: e for e in root.iter() for c in e}
     out = []
     for box in root.iter(f"{{{W}}}txbxContent"):
@@ -172,7 +177,9 @@ def written_cells(part_rows: DataFrame, new_texts: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for doc, name, content, texts in zip(b["doc_id"], b["part_name"], b["content"], b["new"]):
-                by_ref, root = dict(texts), ET.fromstring(content)
+                by_ref, root = dict(texts), parsed(content)
+                if root is None:
+                    continue
                 found = [c for c in root.iter(f"{{{X}}}c") if c.get("r") in by_ref]
                 for c in found:
                     inline_cell(c, by_ref[c.get("r")])

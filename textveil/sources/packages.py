@@ -104,6 +104,20 @@ def serialized(root: ET.Element, declared: list[tuple[str, str]]) -> bytes:
     return b"<?xml version='1.0' encoding='UTF-8' standalone='yes'?>\n" + text.encode()
 
 
+def parsed(data: bytes) -> ET.Element | None:
+    """The tree of an XML part; None where it is broken, so that one bad part costs nothing but itself."""
+    try:
+        return ET.fromstring(data)
+    except ET.ParseError:
+        return None
+
+
+def elements(data: bytes, tag: str) -> Iterator[ET.Element]:
+    """All elements of that tag in an XML part; none of a broken one."""
+    root = parsed(data)
+    return iter(()) if root is None else root.iter(tag)
+
+
 def text_items(data: bytes) -> list[str]:
     """Visible texts of a part, empty ones too, in order."""
     return [e.text for e in ET.fromstring(data).iter() if e.tag in VISIBLE and e.text is not None]
@@ -163,7 +177,7 @@ def relationships(part_rows: DataFrame) -> DataFrame:
             for doc, name, content in zip(b["doc_id"], b["part_name"], b["content"]):
                 folder, file = posixpath.split(name)
                 source = posixpath.join(posixpath.dirname(folder), file.removesuffix(".rels"))
-                for rel in ET.fromstring(content).iter(f"{{{R}}}Relationship"):
+                for rel in elements(content, f"{{{R}}}Relationship"):
                     target = rel.get("Target", "")
                     if rel.get("TargetMode") == "External":
                         continue
@@ -181,7 +195,7 @@ def shared_strings(part_rows: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(doc, k, "".join(t.text or "" for t in item.iter(f"{{{X}}}t"))) for doc, content in zip(b["doc_id"], b["content"]) for k, item in enumerate(ET.fromstring(content).iter(f"{{{X}}}si"))]
+            rows = [(doc, k, "".join(t.text or "" for t in item.iter(f"{{{X}}}t"))) for doc, content in zip(b["doc_id"], b["content"]) for k, item in enumerate(elements(content, f"{{{X}}}si"))]
             yield pd.DataFrame(rows, columns=["doc", "idx", "text"])
 
     return part_rows.where("part_name = 'xl/sharedStrings.xml'").select("doc_id", "content").mapInPandas(read, "doc string, idx int, text string")
@@ -194,7 +208,7 @@ def cells(part_rows: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for doc, name, content in zip(b["doc_id"], b["part_name"], b["content"]):
-                for c in ET.fromstring(content).iter(f"{{{X}}}c"):
+                for c in elements(content, f"{{{X}}}c"):
                     kind, formula, value = c.get("t", "n"), c.find(f"{{{X}}}f"), c.find(f"{{{X}}}v")
                     text = "".join(t.text or "" for t in c.iter(f"{{{X}}}t")) if kind == "inlineStr" else None if value is None else value.text
                     rows.append((doc, name, c.get("r"), kind, int(c.get("s", "0")), text, None if formula is None else formula.text or ""))
