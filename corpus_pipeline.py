@@ -43,11 +43,13 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: Neither compact windows nor a tokenizer are within SQL's reach; tests/llm/test_pipeline.py has a brute-force version.
+#: Neither compact windows nor a tokenizer are within SQL's reach; tests/llm/test_near_duplicates.py has a brute-force version (test_pipeline).
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again. Rows that share an id, or have none, are told apart by their
+    texts in the first three stages; an empty table gives an empty table."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
