@@ -8,7 +8,7 @@ from textveil.functions import colour as C
 from textveil.functions import geometry as G
 from textveil.functions import text as T
 from textveil.operators import layout, names, providers
-from textveil.operators.estimate import clusters, estimate, polygon_mask, wiped, without_specks
+from textveil.operators.estimate import clusters, estimate, polygon_mask, quantile, wiped, without_specks
 
 MASKS = [
     ("character_mask", "Héllo 世界　next\tline\nlast", "##### ##　####\t####\n####"),
@@ -144,6 +144,22 @@ def test_pixels():
     assert done[51, 40, 3] and done[52, 40, 3] and not done[53, 40, 3]
 
 
+def test_counted_colours():
+    """Colours with counts give what a list of all pixels gives."""
+    random = np.random.default_rng(3)
+    for size in (1, 2, 3, 7, 40):
+        values, counts = random.normal(size=(size, 3)).round(1), random.integers(1, 9, size)
+        listed = np.repeat(values, counts, axis=0)
+        for share in (0.5, 0.75, 0.9):
+            assert quantile(values, counts, share) == pytest.approx(np.percentile(listed, 100 * share, axis=0))
+        labels, centres = clusters(values, counts)
+        each, same = clusters(listed)
+        assert centres == pytest.approx(same) and np.repeat(labels, counts).tolist() == each.tolist()
+    noise = random.integers(0, 256, (40, 80, 4)).astype(np.uint8)
+    assert wiped(noise, BOX + 1000, (1, 2, 3, 4)).tolist() == noise.tolist() == wiped(noise, BOX - 1000, (1, 2, 3, 4)).tolist()
+    assert estimate(noise, BOX)["kind"] == "complex"
+
+
 def paragraph(text, **more):
     return {"left_emu": None, "before": None, "after": None, "spacing": None, "exact": False, "runs": [{"text": text, "points": 12.0}]} | more
 

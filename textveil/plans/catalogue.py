@@ -481,7 +481,9 @@ def _pictures(spark, d):
             yield pd.DataFrame({"doc_id": b["doc_id"], "w": 80, "h": 40, "data": out})
 
     box = [(20.0, 12.0), (60.0, 12.0), (60.0, 27.0), (20.0, 27.0)]
-    return _table(spark, d, "documents").select("doc_id").mapInPandas(draw, "doc_id long, w int, h int, data binary").withColumn("polygon", F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in box)))
+    # drawing and looking at a picture is far dearer than reading its number: all cores get some, however few files there are
+    ids = _table(spark, d, "documents").select("doc_id").repartition(4 * spark.sparkContext.defaultParallelism)
+    return ids.mapInPandas(draw, "doc_id long, w int, h int, data binary").withColumn("polygon", F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in box)))
 
 
 @query()
