@@ -126,6 +126,21 @@ def test_top_k(spark):
     assert hashlib.sha256(b"").hexdigest()
 
 
+def test_top_k_of_rows_that_share_an_id(spark):
+    """Two vectors under one id are two queries, in one slab or in two; the same vector again is not."""
+    random = np.random.default_rng(8)
+    rows = [(int(k), random.normal(size=4).round(2).tolist()) for k in range(1, 40)] + [(50, [1.0, 0.0, 0.0, 0.0]), (50, [-1.0, 0.0, 0.5, 0.0]), (50, [1.0, 0.0, 0.0, 0.0])]
+    whole = {k: np.floor(256 * np.array(v)) for k, v in rows if k < 40}
+    wanted = []
+    for query in ([1.0, 0.0, 0.0, 0.0], [-1.0, 0.0, 0.5, 0.0]):
+        best = sorted((-int(np.floor(256 * np.array(query)) @ x), k) for k, x in whole.items())[:5]
+        wanted += [(50, n + 1, k, -s) for n, (s, k) in enumerate(best)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for slab in (1, 8):
+        got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(df, pivots=3, seeds=8, slab=slab).collect()]
+        assert sorted(got) == sorted(wanted)
+
+
 def test_top_k_across_the_seam_of_two_files():
     """The rows of one pivot may come as the end of one file and then the beginning of another."""
     from textveil.llm.topk import Slab

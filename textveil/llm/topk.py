@@ -29,7 +29,8 @@ SEEDS = 4096
 SLAB = 1 << 14
 #: Rows of an annulus at most.
 ANNULUS = 1024
-RESULT_SQL = "query_id long, vec_id long, score long"
+#: Queries are numbered, for rows of one id may differ in their vectors.
+RESULT_SQL = "query long, query_id long, vec_id long, score long"
 
 
 def scaled(vectors: DataFrame, *, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -113,8 +114,8 @@ def top_k(vectors: DataFrame, k: int = 5, *, every: int = 50, scale: int = 256,
     products with the rows of other ids, ties to the smaller id; fewer if there are fewer.
 
     Rows with a null id, a null vector or a null or non-finite component take no part, nor do rows of another length than
-    most. Rows that repeat an id are candidates each and, where their vectors are equal, one query. Other columns are not
-    looked at. An empty table gives an empty table. Scores are exact up to 2^53."""
+    most. Rows that repeat an id are candidates each (of queries of other ids) and, where their vectors are equal, one
+    query; where not, a query each, with k rows of its own under that id. Other columns are not looked at. An empty table gives an empty table. Scores are exact up to 2^53."""
     spark = vectors.sparkSession
     rows = scaled(vectors, id_col=id_col, vector_col=vector_col, scale=scale)
     square = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
@@ -147,21 +148,22 @@ def top_k(vectors: DataFrame, k: int = 5, *, every: int = 50, scale: int = 256,
     fetched = iter(queries.collect()) if queries.count() <= slab else queries.toLocalIterator()
     parts: list[DataFrame] = []
     while some := list(islice(fetched, slab)):
+        base = len(parts) * slab
         state = Slab(np.array([r.vec_id for r in some], np.int64), np.array([r.v for r in some]), centres, lifts, largest, k)
         state.seed(seed_ids, seed_x)
-        parts.append(_searched(index, spark.sparkContext.broadcast(state)))
+        parts.append(_searched(index, spark.sparkContext.broadcast(state), base))
     if len(parts) > 1:  # each slab is worked off before the next, so that no plan holds them all
         path = shared_path(spark, "top-k")
         for part in parts:
             part.write.mode("append").parquet(path)
         parts = [spark.read.schema(RESULT_SQL).parquet(path)]
     found = parts[0] if parts else spark.createDataFrame([], RESULT_SQL)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _searched(index: DataFrame, state) -> DataFrame:
-    """The k best of each query of a slab among the rows of each task."""
+def _searched(index: DataFrame, state, base: int) -> DataFrame:
+    """The k best of each query of a slab among the rows of each task; its queries are numbered from `base` on."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import copy
@@ -173,6 +175,6 @@ def _searched(index: DataFrame, state) -> DataFrame:
                 pivot, r, vec = (batch.column(n).to_numpy() for n in range(3))
                 slab.expand(pivot, r, vec, _matrix(batch.column(3), batch.num_rows))
         query, vec, score = slab.top
-        yield pa.RecordBatch.from_arrays([pa.array(slab.ids[query]), pa.array(vec), pa.array(score.astype(np.int64))], names=["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(query + base), pa.array(slab.ids[query]), pa.array(vec), pa.array(score.astype(np.int64))], names=["query", "query_id", "vec_id", "score"])
 
     return index.select("pivot", "r", "vec_id", "v").mapInArrow(search, RESULT_SQL)
