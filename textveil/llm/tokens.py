@@ -5,9 +5,10 @@ not white space always starts a pre-token, so a text falls apart there into unit
 whole number of pre-tokens, and the ids of a text are those of its units. Worker processes keep the ids of the units
 they have met, so the text mostly costs a split at spaces and a look-up per unit.
 
-Units of plain Latin letters and ASCII signs that are not yet known go to the faster encoder of the same merges where a
-rank file is given (equal on this alphabet: tests/llm/test_tokens.py compares all of it); all other units, and texts
-that hold a special token's string, go to the library itself."""
+Where a rank file is given, texts of plain Latin letters and ASCII signs go as a whole to the faster encoder of the same
+merges (equal on this alphabet: tests/llm/test_tokens.py compares all of it), for ids; in other texts, and for counts,
+units of this alphabet that are not yet known do. All other units, and texts that hold a special token's string, go to
+the library itself."""
 
 from __future__ import annotations
 
@@ -26,6 +27,8 @@ SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 PLAIN = re.compile(r"[\n -~À-ÖØ-öø-ɏ]+")
 #: Longer units are not kept, and are encoded by the library.
 LONGEST_UNIT = 128
+#: Texts are given to the faster encoder in pieces of about so many characters, which bounds its lists of ids.
+PIECE = 1 << 16
 #: Units that a worker keeps at most: some 60 MB.
 MOST_UNITS = 250_000
 
@@ -85,6 +88,21 @@ class TextEncoder:
     def _unit_ids(self, unit: str) -> bytes:
         return struct.pack(f"<{len(ids := self._encode(unit))}{self.dtype.char}", *ids)
 
+    def _plain(self, text: str) -> bool:
+        """Whether a text goes to the faster encoder as a whole: no words, and no white space, that are long."""
+        if not self.ranks or not PLAIN.fullmatch(text):
+            return False
+        white = np.flatnonzero(np.frombuffer(f" {text} ".encode(), np.uint8) <= 32)
+        return int(np.diff(white).max()) <= LONGEST_UNIT and not (white[LONGEST_UNIT:] - white[:-LONGEST_UNIT] == LONGEST_UNIT).any()
+
+    def _plain_ids(self, text: str) -> np.ndarray:
+        encode, at, found = self.ranks._core_bpe.encode_ordinary, 0, []
+        while len(text) - at > PIECE and (cut := SINGLE_SPACE.search(text, at + PIECE)):
+            found.append(np.array(encode(text[at : cut.start()]), self.dtype))
+            at = cut.start()
+        found.append(np.array(encode(text[at:] if at else text), self.dtype))
+        return found[0] if len(found) == 1 else np.concatenate(found)
+
     def _special(self, text: str) -> bool:
         return any(s in text for s in self.specials)
 
@@ -106,6 +124,8 @@ class TextEncoder:
             return np.empty(0, self.dtype)
         if self._special(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
+        if self._plain(text):
+            return self._plain_ids(text)
         return np.frombuffer(b"".join(self._units(text, self.ids_of, self._unit_ids)), self.dtype)
 
     def count(self, text: str | None) -> int:
