@@ -179,3 +179,34 @@ def test_layout():
     spaced = layout.total_height([paragraph("a", spacing=1.0, exact=True)], 100, 1.0)[0]
     assert spaced == pytest.approx(16 * 1.2) and layout.total_height([paragraph("a", spacing=0.5)], 100, 1.0)[0] == pytest.approx(8 * 1.2)
     assert layout.largest_font("two words", 200, 40) > layout.largest_font("two words", 100, 40)
+
+
+def test_fit_measures_a_token_once():
+    """The fit of a box asks for the width of each word once, not once a size, and is that of a measure asked each time."""
+    asked = []
+
+    def each(text, pixels):
+        return layout.em_width(text, pixels)
+
+    def measure(text, pixels):
+        raise AssertionError("no token is wider than the box")
+
+    def ems(text):
+        asked.append(text)
+        return layout.em_width(text, 1.0)
+
+    measure.ems = ems
+    box = [paragraph(" a  bc\n日本 de\n\v" + "word " * 200), paragraph("\nlong " * 30, spacing=0.9, left_emu=9525 * 20)]
+    found = layout.fit_scale(box, 300, 400, measure)
+    assert found == layout.fit_scale(box, 300, 400, each) == layout.fit_scale(box, 300, 400) and 0 < found[0] < 1
+    assert len(asked) == len([t for p in box for t in layout.tokens(p["runs"][0]["text"]) if t not in "\n\v"])
+    for width in (0, 3, 7.7, 40, 120.5):  # words wider than the box fall into characters
+        assert layout.lines(box[0], width, 0.7) == layout.lines(box[0], width, 0.7, each)
+
+
+def test_fit_keeps_boxes_without_a_key(spark):
+    """Boxes are not joined with their fits: one without a key has its row, and two with the same key one each."""
+    rows = [(k, 100.0, 50.0, [paragraph(t) | {"align": None, "runs": [{"text": t, "family": "f", "points": 12.0, "bold": False}]}]) for k, t in ((None, "a b"), (1, "c"), (1, "d " * 90))]
+    boxes = spark.createDataFrame(rows, f"k int, width double, height double, paragraphs array<struct<{layout.PARAGRAPH}>>")
+    got = layout.replaced_and_fitted(boxes, ["k"], "character_mask").select("k", "fit_status", "font_scale").collect()
+    assert sorted((r.k or 0, r.fit_status, r.font_scale == 1.0) for r in got) == [(0, "fit", True), (1, "fit", False), (1, "fit", True)]
