@@ -8,7 +8,7 @@ from textveil.functions import colour as C
 from textveil.functions import geometry as G
 from textveil.functions import text as T
 from textveil.operators import layout, names, providers
-from textveil.operators.estimate import clusters, estimate, polygon_mask, quantile, wiped, without_specks
+from textveil.operators.estimate import _around, clusters, estimate, polygon_mask, quantile, wiped, without_specks
 
 MASKS = [
     ("character_mask", "Héllo 世界　next\tline\nlast", "##### ##　####\t####\n####"),
@@ -160,6 +160,31 @@ def test_counted_colours():
     assert estimate(noise, BOX)["kind"] == "complex"
 
 
+def test_equal_crops_are_estimated_once(monkeypatch):
+    """Equal crops have one estimate wherever they lie; another pixel or another place of the region has its own."""
+    from textveil.operators import estimate as module
+
+    seen, real = [], module.polygon_mask
+    monkeypatch.setattr(module, "polygon_mask", lambda *a: seen.append(1) or real(*a))
+    noise = np.random.default_rng(5).integers(0, 256, (100, 240, 4)).astype(np.uint8)
+    wide = np.concatenate([np.zeros((100, 60, 4), np.uint8), noise], 1)
+    got = [estimate(noise, BOX), estimate(noise, BOX), estimate(wide, BOX + [60, 0])]
+    assert len(seen) == 1 and got[0] == got[1] == got[2]
+    got[0]["kind"] = "other"
+    changed = noise.copy()
+    changed[50, 100, 0] += 1
+    estimate(changed, BOX), estimate(noise, BOX + [0, 1])
+    assert len(seen) == 3 and estimate(noise, BOX)["kind"] != "other"
+
+
+def test_around():
+    pixels = np.random.default_rng(1).integers(0, 9, (7, 5))
+    for join in (np.add, np.minimum, np.maximum):
+        padded = np.pad(pixels, 1, constant_values=-1)
+        want = [[join.reduce(padded[y : y + 3, x : x + 3], axis=None) for x in range(5)] for y in range(7)]
+        assert _around(pixels, join, -1).tolist() == want
+
+
 def paragraph(text, **more):
     return {"left_emu": None, "before": None, "after": None, "spacing": None, "exact": False, "runs": [{"text": text, "points": 12.0}]} | more
 

@@ -470,12 +470,13 @@ def _pictures(spark, d):
     import pandas as pd
 
     def draw(batches):
+        y, x = np.mgrid[0:40, 0:80]
+        grounds = [np.stack([x * 0 + 245, x * 0 + 235, x * 0 + 200]), np.stack([80 + x // 4, x * 0 + 150, 210 - x // 5]), np.stack([np.where((x // 8 + y // 8) % 2, 180, 60), x * 0 + 120, np.where((x // 8 + y // 8) % 2, 80, 180)])]
+        grounds = [np.concatenate([g, np.full((1, 40, 80), 255)]).transpose(1, 2, 0).astype(np.uint8, order="C") for g in grounds]
         for b in batches:
             out = []
             for k in b["doc_id"]:
-                y, x = np.mgrid[0:40, 0:80]
-                ground = [np.stack([x * 0 + 245, x * 0 + 235, x * 0 + 200]), np.stack([80 + x // 4, x * 0 + 150, 210 - x // 5]), np.stack([np.where((x // 8 + y // 8) % 2, 180, 60), x * 0 + 120, np.where((x // 8 + y // 8) % 2, 80, 180)])][k % 3]
-                image = np.concatenate([ground, np.full((1, 40, 80), 255)]).transpose(1, 2, 0).astype(np.uint8)
+                image = grounds[k % 3].copy()
                 image[17:21, 25 : 35 + k % 20] = (30, 30, 30 + k % 40, 255)
                 out.append(image.tobytes())
             yield pd.DataFrame({"doc_id": b["doc_id"], "w": 80, "h": 40, "data": out})
