@@ -1,5 +1,7 @@
 """Rules by their literal examples."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +37,21 @@ def test_whitespace_is_pythons(spark):
     assert [r[0] != "#" for r in got] == [chr(c).isspace() for c in points]
 
 
+def test_seen_characters_come_first(spark):
+    """The class that the masks look for is all but white space, and its commonest characters are met at the first look."""
+    from textveil.functions.chars import SEEN
+
+    points = [*range(1, 0xD800), *range(0xE000, 0xFFFF), 0x1F600]
+    got = spark.createDataFrame([(chr(c),) for c in points], "c string").select(F.rlike("c", F.lit(SEEN))).collect()
+    assert SEEN.startswith("[!-~[") and [r[0] for r in got] == [not chr(c).isspace() for c in points]
+    plan = spark.range(1).select(T.half_mask(F.col("id").cast("string")), T.mask(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert "[!-~[" in plan and "{2,3}" not in plan
+    random = np.random.default_rng(7)
+    texts = ["".join(random.choice(list("ab \t\n　é😀"), 60, p=[0.3, 0.2, 0.1, 0.05, 0.05, 0.05, 0.2, 0.05])) for _ in range(50)]
+    want = ["".join(x if x[0].isspace() else "#" * max(1, len(x) // 2) for x in re.findall(r"\s+|\S+", t)) for t in texts]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.half_mask(F.col("t"))).collect()] == want
+
+
 def test_language_tags(spark):
     yes, no = ["en", "en-GB", "zh-Hant-TW", "docs", "samples", "x-foo", "sl-rozaj-biske", "de-CH-1996"], ["confidential", "collection", "e", "a1", "EN_us", "en\n"]
     got = {r.t: r.v for r in spark.createDataFrame([(t,) for t in yes + no], "t string").select("t", T.is_language_tag(F.col("t")).alias("v")).collect()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textveil.functions.chars import WHITE, wide
+from textveil.functions.chars import SEEN, WHITE, wide
 
 # Forms of a language tag (BCP 47), the keyword tables of the font classifiers, units and limits.
 LANGUAGE_TAG = (
@@ -28,13 +28,12 @@ LABEL = 44
 
 def mask(text: Column, times: int = 1) -> Column:
     """Every character that is not white space becomes `times` number signs."""
-    return F.regexp_replace(text, f"[^{WHITE}]", "#" * times)
+    return F.regexp_replace(text, SEEN, "#" * times)
 
 
 def half_mask(text: Column) -> Column:
     """Every run of n characters that are not white space becomes max(1, n // 2) number signs."""
-    seen = f"[^{WHITE}]"
-    return F.regexp_replace(text, f"{seen}{{2,3}}(?!{seen})|{seen}{{2}}|{seen}", "#")
+    return F.regexp_replace(text, f"{SEEN}{SEEN}(?:{SEEN}(?!{SEEN}))?|{SEEN}", "#")
 
 
 def suffix(name: Column) -> Column:
