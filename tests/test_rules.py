@@ -85,6 +85,28 @@ def test_clip_bounds(spark):
     assert box([(1, 1), (5, 1), (5, 4), (1, 4)])[0] == (0, 0, 25, 24) and box([(200, 1), (205, 1), (205, 4)])[0] is None
 
 
+def test_polygons_are_computed_once(spark):
+    """Each rule names its polygon once, however often it uses it, and odd polygons are judged as before."""
+    corners = F.col("corners")
+    for rule in (G.is_convex(corners), G.holds_point(corners, F.lit(1.0), F.lit(1.0)), G.baseline_angle(corners), G.frame(corners, F.lit(30.0))):
+        assert str(rule).count("corners") == 1
+    nan = float("nan")
+    rows = [
+        (None, None, None),
+        ([], False, True),
+        ([(1.0, 1.0)], False, True),
+        ([(0.0, 0.0), (2.0, 2.0)], False, True),  # a line through the point
+        ([(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], True, True),
+        ([(0.0, 4.0), (4.0, 4.0), (4.0, 0.0), (0.0, 0.0)], True, True),
+        ([(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (3.0, 1.0)], False, False),
+        ([(5.0, 5.0), (9.0, 5.0), (9.0, 9.0)], True, False),
+        ([(nan, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], True, True),
+    ]
+    table = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "k int, corners array<struct<x double, y double>>")
+    got = {r.k: (r.convex, r.holds) for r in table.select("k", G.is_convex(corners).alias("convex"), G.holds_point(corners, F.lit(1.0), F.lit(1.0)).alias("holds")).collect()}
+    assert [got[k] for k in range(len(rows))] == [r[1:] for r in rows]
+
+
 def test_collisions(spark):
     rows = [("d", "same.png", 1), ("d", "same.png", 2), ("d", "same (2).png", 3), ("d", "same.png", 4), ("e", "same.png", 5)]
     taken = spark.createDataFrame([("e", "same.png")], "dir string, name string")

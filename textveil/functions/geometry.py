@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textveil.functions.once import once
+
 #: Context in pixels around a clip, and around an estimate; tolerances in degrees.
 CLIP_PADDING, ESTIMATE_PADDING = 20, 12
 AXIS_TOLERANCE, UPRIGHT_TOLERANCE, FLAT = 0.01, 5.0, 1e-6
@@ -48,13 +52,14 @@ def translated(p: Column, left: Column, top: Column) -> Column:
     return F.transform(p, lambda v: F.struct((v["x"] - left).alias("x"), (v["y"] - top).alias("y")))
 
 
-def _turned(p: Column, by: int = 1) -> Column:
-    return F.concat(F.slice(p, F.lit(1 + by), F.size(p)), F.slice(p, 1, by))
+def _with_next(p: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f of each element and the one after it; after the last comes the first."""
+    return once(p, lambda q: F.transform(q, lambda a, k: f(a, F.get(q, (k + 1) % F.size(q)))))
 
 
 def longest_edge(p: Column) -> Column:
     """length, dx and dy of the longest edge; of several, the first."""
-    edges = F.zip_with(p, _turned(p), lambda a, b: F.struct(F.hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("length"), (b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy")))
+    edges = _with_next(p, lambda a, b: F.struct(F.hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("length"), (b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy")))
     ranked = F.transform(edges, lambda e, k: F.struct(e["length"].alias("length"), (-k).alias("first"), e["dx"].alias("dx"), e["dy"].alias("dy")))
     return F.array_max(ranked)
 
@@ -65,8 +70,7 @@ def readable_angle(degrees: Column) -> Column:
 
 
 def baseline_angle(p: Column) -> Column:
-    edge = longest_edge(p)
-    return F.when(edge["length"] > 0, readable_angle(F.degrees(F.atan2(edge["dy"], edge["dx"]))))
+    return once(longest_edge(p), lambda edge: F.when(edge["length"] > 0, readable_angle(F.degrees(F.atan2(edge["dy"], edge["dx"])))))
 
 
 def local(p: Column, angle: Column) -> Column:
@@ -76,9 +80,10 @@ def local(p: Column, angle: Column) -> Column:
 
 
 def frame(p: Column, angle: Column) -> Column:
-    q = local(p, angle)
-    x0, x1, y0, y1 = F.array_min(xs(q)), F.array_max(xs(q)), F.array_min(ys(q)), F.array_max(ys(q))
-    return F.when((x1 > x0) & (y1 > y0), F.struct(x0.alias("min_x"), x1.alias("max_x"), y0.alias("min_y"), y1.alias("max_y")))
+    def bounds(q: Column) -> Column:
+        return F.struct(F.array_min(xs(q)).alias("min_x"), F.array_max(xs(q)).alias("max_x"), F.array_min(ys(q)).alias("min_y"), F.array_max(ys(q)).alias("max_y"))
+
+    return once(once(local(p, angle), bounds), lambda b: F.when((b["max_x"] > b["min_x"]) & (b["max_y"] > b["min_y"]), b))
 
 
 def is_axis_aligned(angle: Column, tolerance: float = AXIS_TOLERANCE) -> Column:
@@ -86,20 +91,24 @@ def is_axis_aligned(angle: Column, tolerance: float = AXIS_TOLERANCE) -> Column:
 
 
 def _one_sign(crosses: Column, empty: bool) -> Column:
-    signs = F.filter(crosses, lambda c: F.abs(c) > FLAT)
-    same = F.forall(signs, lambda c: c > 0) | F.forall(signs, lambda c: c < 0)
-    return same if empty else (F.size(signs) > 0) & same
+    """Whether all that are not flat have one sign. empty: what holds where none is left."""
+
+    def of(c: Column) -> Column:
+        above, below = F.coalesce(F.array_max(c) > FLAT, F.lit(False)), F.coalesce(F.array_min(c) < -FLAT, F.lit(False))
+        return F.when(c.isNotNull(), ~(above & below) if empty else above != below)
+
+    return once(crosses, of)
 
 
 def is_convex(p: Column) -> Column:
     """All turns go the same way; at least one is a turn."""
-    first = F.zip_with(p, _turned(p), lambda a, b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y")))
-    return _one_sign(F.zip_with(first, _turned(first), lambda a, b: a["x"] * b["y"] - a["y"] * b["x"]), empty=False)
+    edges = _with_next(p, lambda a, b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y")))
+    return _one_sign(_with_next(edges, lambda a, b: a["x"] * b["y"] - a["y"] * b["x"]), empty=False)
 
 
 def holds_point(p: Column, x: Column, y: Column) -> Column:
     """Whether a convex polygon holds a point; its edges count as inside."""
-    return _one_sign(F.zip_with(p, _turned(p), lambda a, b: (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])), empty=True)
+    return _one_sign(_with_next(p, lambda a, b: (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])), empty=True)
 
 
 def holds_rectangle(p: Column, left: Column, top: Column, right: Column, bottom: Column) -> Column:
