@@ -133,6 +133,25 @@ def test_text_rules(spark):
     assert (r.uri.mime, bytes(r.uri.data), r.far, r.tokens, r.least) == ("image/png", b"hi", None, ["ab  ", "cd\n", "日", "本", " ", "x"], 100)
 
 
+def test_layout_tokens_without_a_row_each(spark, tmp_path):
+    """Figures of odd texts, of an id with several and of ids with none, without a row for each token."""
+    from textveil.plans.catalogue import layout_tokens
+
+    random = np.random.default_rng(11)
+    odd = ["".join(random.choice(list("ab \t\n\v\r\x85　é日😀한"), 40, p=[0.3, 0.14, 0.15, 0.05, 0.05, 0.05, 0.05, 0.02, 0.02, 0.05, 0.04, 0.04, 0.04])) for _ in range(60)]
+    rows = [(k % 50, t) for k, t in enumerate(odd)] + [(50, ""), (51, None), (52, ""), (52, " a"), (None, "b c")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r[0] for r in table.where("text IS NOT NULL").select(T.layout_tokens(F.col("text"))).collect()] == [layout.tokens(t) for _, t in rows if t is not None]
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for k, text in rows:
+        want.setdefault(k, []).extend(map(len, layout.tokens(text or "")))
+    got = layout_tokens(spark, str(tmp_path))
+    assert {r.doc_id: (r.tokens, r.chars, r.longest) for r in got.collect()} == {k: (len(n), sum(n), max(n)) for k, n in want.items() if n}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("regexp_extract_all(text") == 2  # one for words with wide characters
+
+
 def test_light_text(spark):
     def boosted(text, back):
         r = one(spark, C.light_text(*(F.lit(v) for v in (*text, *back))).alias("c")).c

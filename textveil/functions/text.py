@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textveil.functions.chars import SEEN, WHITE, wide
+from textveil.functions.chars import BLANK, SEEN, WHITE, wide_class
 
 # Forms of a language tag (BCP 47), the keyword tables of the font classifiers, units and limits.
 LANGUAGE_TAG = (
@@ -120,8 +120,10 @@ def short_label(text: Column) -> Column:
 
 def layout_tokens(text: Column) -> Column:
     """Line breaks, words with the white space after them, white space; words with wide characters fall into characters."""
-    tokens = F.regexp_extract_all(text, F.lit(f"[\\x0a\\x0b]|[^{WHITE}]+[{WHITE}]*|[{WHITE}]+"), 0)
-    return F.flatten(F.transform(tokens, lambda t: F.when(F.rlike(t, F.lit(f"[{wide()}]")), F.regexp_extract_all(t, F.lit("(?s)."), 0)).otherwise(F.array(t))))
+    wide = F.lit(wide_class())
+    tokens = F.regexp_extract_all(text, F.lit(f"[\\x0a\\x0b]|{SEEN}++{BLANK}*+|{BLANK}++"), 0)
+    split = F.flatten(F.transform(tokens, lambda t: F.when(F.rlike(t, wide), F.regexp_extract_all(t, F.lit("(?s)."), 0)).otherwise(F.array(t))))
+    return F.when(F.rlike(text, wide), split).otherwise(tokens)
 
 
 def a1_column(reference: Column) -> Column:
