@@ -293,3 +293,18 @@ def test_fit_keeps_boxes_without_a_key(spark):
     boxes = spark.createDataFrame(rows, f"k int, width double, height double, paragraphs array<struct<{layout.PARAGRAPH}>>")
     got = layout.replaced_and_fitted(boxes, ["k"], "character_mask").select("k", "fit_status", "font_scale").collect()
     assert sorted((r.k or 0, r.fit_status, r.font_scale == 1.0) for r in got) == [(0, "fit", True), (1, "fit", False), (1, "fit", True)]
+
+
+def test_replaced_paragraphs(spark):
+    """Text and main run of a paragraph are made once; blank paragraphs stay; boxes are neither read twice nor joined."""
+    from textveil.plans.catalogue import replaced_and_fitted
+
+    names = str(layout.replace_paragraphs(F.col("ps"), "character_mask"))
+    assert names.count("array_max") == 1 == names.count("array_join")
+    plan = replaced_and_fitted(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation [") == 1
+    runs = [{"text": t, "family": f, "points": float(n), "bold": n > 1} for n, (t, f) in enumerate([("a　", "x"), ("bcd", "y"), ("efg", "z")], 1)]
+    ps = [paragraph("") | {"align": None, "runs": r} for r in (runs, [runs[0] | {"text": " \t"}], [], runs[:1])]
+    table = spark.createDataFrame([(ps,)], f"ps array<struct<{layout.PARAGRAPH}>>")
+    got = table.select(layout.replace_paragraphs(F.col("ps"), "character_mask").alias("ps")).first().ps
+    assert [[(r.text, r.family, r.points, r.bold) for r in p.runs] for p in got] == [[("#　######", "y", 2.0, True)], [(" \t", "x", 1.0, False)], [], [("#　", "x", 1.0, False)]]
